@@ -2,8 +2,10 @@
 
 Sources in code point order, null last, weigh 5, 2, 1, repeating. They share all words of the input by weight; a target stops at LIMIT
 times its source's size and what is over is shared anew by weight among the others. The rate of a source is target / size; a document is
-taken floor(rate) times and once more with the fraction's probability, decided by a hash of the seed, its doc_id and its text, so a rerun
-draws the same. Rates follow from per-source sums (partial aggregates); the only pass over texts is the count of words.
+taken floor(rate) times and once more with the fraction's probability. These Bernoulli draws are seeded by hashes, so a rerun draws the
+same, and they are systematic within strata: a stratum is some thousand documents of one source chosen by hash, in order of size, with one
+hashed start. Each document's chance is exactly the fraction, while a stratum's sum stays within a document of its mean, where independent
+draws would stray by a third in a source of fifty documents; strata also split a source that holds most rows. Rates follow from per-source sums (partial aggregates); the only pass over texts is the count of words.
 
 Null and empty texts have size 0 and are taken like any document of their source (a source without words has target 0 and rate 0). Rows
 that are repeated draw alike. A null doc_id is hashed as such. Extra columns, one named size among them, are kept by emit(). An empty
@@ -20,6 +22,7 @@ from quarrel.llm.common import written
 WEIGHTS = (5, 2, 1)
 LIMIT = 3
 SEED = 20
+STRATUM = 1000
 
 
 def size_of(text: Column) -> Column:
@@ -29,18 +32,18 @@ def size_of(text: Column) -> Column:
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, limit: int = LIMIT) -> DataFrame:
-    """source, source_size, target for sizes(source, size)."""
-    per = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
+    """source, source_size, docs, target for sizes(source, size)."""
+    per = sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("docs"))
     # Ranks by range partitions and their counts, so that no task needs all sources.
     placed = written(per.repartitionByRange(F.col("source").asc_nulls_last()).sortWithinPartitions(F.col("source").asc_nulls_last()).withColumn("part", F.spark_partition_id()), "sources")
     counts = placed.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
     before = counts.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))
     own = F.row_number().over(Window.partitionBy("part").orderBy(F.col("source").asc_nulls_last()))
-    ranked = placed.withColumn("own", own).join(before, "part").select("source", "source_size", (F.col("before") + F.col("own") - 1).alias("rank"))
-    ranked = written(ranked.select("source", "source_size", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("rank") % len(weights) + 1).cast("int")).alias("weight")), "weights")
+    ranked = placed.withColumn("own", own).join(before, "part").select("source", "source_size", "docs", (F.col("before") + F.col("own") - 1).alias("rank"))
+    ranked = written(ranked.select("source", "source_size", "docs", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("rank") % len(weights) + 1).cast("int")).alias("weight")), "weights")
     share, capped = _share(ranked, limit)
     target = F.when(capped, F.col("source_size") * float(limit)).otherwise(F.col("weight") * F.lit(share))
-    return ranked.select("source", "source_size", target.alias("target"))
+    return ranked.select("source", "source_size", "docs", target.alias("target"))
 
 
 def _share(ranked: DataFrame, limit: int) -> tuple[float, Column]:
@@ -55,19 +58,28 @@ def _share(ranked: DataFrame, limit: int) -> tuple[float, Column]:
         share, held = (total - float(limit) * (row["size"] or 0)) / row["free"], row["n"]
 
 
-def takes(docs: DataFrame, seed: int = SEED) -> DataFrame:
-    """doc_id, size, source_size, target, taken, copies for each row of docs(doc_id, text, source)."""
-    sizes = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.lit(seed), "doc_id", "text").alias("draw"), "source", size_of(F.col("text")).alias("size")), "sizes")
-    rates = targets(sizes).withColumnRenamed("source", "of")
-    joined = sizes.join(rates, sizes["source"].eqNullSafe(rates["of"]))
-    return joined.select("doc_id", "size", "source_size", "target", (F.col("size") * copies()).alias("taken"), copies().alias("copies"))
+def _seeded(joined: DataFrame, seed: int) -> DataFrame:
+    """joined(size, draw, source, rate, docs, ...) with copies. A stratum is about STRATUM documents of one source, chosen by hash."""
+    salted = joined.withColumn("stratum", F.pmod(F.col("draw"), F.ceil(F.col("docs") / STRATUM)))
+    place = F.row_number().over(Window.partitionBy("source", "stratum").orderBy("size", "draw"))
+    start = F.pmod(F.xxhash64(F.lit(seed), "source", "stratum"), F.lit(1 << 52)).cast("double") / F.lit(float(1 << 52))
+    fraction = F.col("rate") - F.floor("rate")
+    hit = F.floor(F.col("place") * fraction + F.col("start")) - F.floor((F.col("place") - 1) * fraction + F.col("start"))
+    return salted.withColumns({"place": place, "start": start}).withColumn("copies", (F.floor("rate") + hit).cast("long"))
 
 
-def copies() -> Column:
-    """Whole copies and the seeded one, from target, source_size and draw."""
+def _rates(sizes: DataFrame) -> DataFrame:
+    """of (a source), source_size, target, docs, rate."""
     rate = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(float(LIMIT)))).otherwise(F.lit(0.0))
-    uniform = F.pmod(F.col("draw"), F.lit(1 << 52)).cast("double") / F.lit(float(1 << 52))
-    return F.floor(rate) + (uniform < rate - F.floor(rate)).cast("long")
+    return targets(sizes).withColumnRenamed("source", "of").withColumn("rate", rate)
+
+
+def takes(docs: DataFrame, seed: int = SEED) -> DataFrame:
+    """doc_id, size, source_size, target, taken, copies for each row of docs(doc_id, text, source)."""
+    sizes = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.lit(seed), "doc_id", "text").alias("draw"), "source", size_of(F.col("text")).alias("size")), "sizes")
+    rates = _rates(sizes)
+    drawn = _seeded(sizes.join(rates, sizes["source"].eqNullSafe(rates["of"])), seed)
+    return drawn.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies")
 
 
 def emit(docs: DataFrame, seed: int = SEED) -> DataFrame:
@@ -75,7 +87,8 @@ def emit(docs: DataFrame, seed: int = SEED) -> DataFrame:
     names = docs.columns
     plain = docs.toDF(*[f"c{i}" for i in range(len(names))])
     at = {n: F.col(f"c{i}") for i, n in enumerate(names)}
-    sizes = written(docs.select("source", size_of(F.col("text")).alias("size")).groupBy("source").agg(F.sum("size").alias("size")), "sizes")
-    rates = targets(sizes).withColumnRenamed("source", "of")
-    joined = plain.join(rates, at["source"].eqNullSafe(F.col("of"))).withColumn("draw", F.xxhash64(F.lit(seed), at["doc_id"], at["text"]))
-    return joined.where(copies() > 0).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), copies()))).select(*[F.col(f"c{i}").alias(n) for i, n in enumerate(names)])
+    rates = _rates(written(docs.select("source", size_of(F.col("text")).alias("size")), "sizes"))
+    sized = plain.withColumns({"source": at["source"], "size": size_of(at["text"]), "draw": F.xxhash64(F.lit(seed), at["doc_id"].cast("long"), at["text"])})
+    drawn = _seeded(sized.join(rates, F.col("source").eqNullSafe(F.col("of"))), seed)
+    repeated = drawn.where("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
+    return repeated.select(*[F.col(f"c{i}").alias(n) for i, n in enumerate(names)])

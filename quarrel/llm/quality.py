@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 MAX_TRAIN_ROWS = 6000
 THRESHOLD = 0.7
@@ -155,8 +156,7 @@ def _scored(docs: DataFrame, model: Model, name: str) -> DataFrame:
             scores = pa.array([m.score(features(t)) for t in b.column(at).to_pylist()], pa.float64())
             yield pa.RecordBatch.from_arrays([*b.columns, scores], names=[*b.schema.names, name])
 
-    schema = docs.schema.add(name, "double")
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())]))
 
 
 def score(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
