@@ -11,8 +11,8 @@ least-hashed run of GRAM words (leftmost on ties), and equal windows have equal
 2. For the others each distinct context with its multiplicity goes to the reference shard of its anchor (every place of a window is in one
    shard). Each shard of bounded size gets a suffix automaton with occurrence counts; contexts are streamed through it, and the positions
    whose last WINDOW words match at two places at least give the maximal spans.
-3. An anchor with more than BIG distinct contexts (a very common passage) would not fit a bounded shard: its windows are counted by their
-   hashes in an aggregate, which is exact too and splits over any number of tasks.
+3. An anchor with more than BIG distinct contexts (a very common passage) would not fit a bounded shard: ranges of its windows are halved
+   until all of a range are repeated or none, by aggregates of hashes, which is exact too and splits over any number of tasks.
 4. Spans go back to their documents, which lose the words under them.
 
 Null and empty texts have no words. Rows that are repeated, with or without doc_id, count as places of their own. Extra columns are
@@ -238,25 +238,59 @@ def _by_automata(shards: DataFrame, window: int) -> DataFrame:
     return dealt.mapInArrow(run, f"anchor long, ctx long, spans {_SPANS}")
 
 
-def _by_counts(big: DataFrame, window: int) -> DataFrame:
-    """The same for contexts of very common anchors, by counting window hashes."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            cols: list[list[np.ndarray]] = [[], [], [], [], []]
-            for a, c, w, h in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
-                h = np.frombuffer(h, np.uint64)
-                start = np.arange(len(h) - window + 1)
-                for col, v in zip(cols, (np.full(len(start), a), np.full(len(start), c), np.full(len(start), w), start, _Rolling(h).runs(start, start + window).view(np.int64)), strict=True):
-                    col.append(v)
-            if cols[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(np.int64)) for c in cols], names=["anchor", "ctx", "weight", "start", "key"])
-
-    each = big.select("anchor", "ctx", "weight", "h").mapInArrow(run, "anchor long, ctx long, weight long, start long, key long")
-    often = each.groupBy("key").agg(F.sum("weight").alias("n")).where("n > 1")
-    hit = each.join(often.select("key"), "key", "left_semi")
-    starts = hit.groupBy("anchor", "ctx").agg(F.sort_array(F.collect_list(F.col("start").cast("int"))).alias("starts"))  # at most WINDOW - GRAM + 1
-    return starts.select("anchor", "ctx", F.transform("starts", lambda s: F.struct(s.alias("first"), F.lit(1).alias("number"))).alias("spans"))
+def _halves(d0: int, d1: int) -> list[tuple[int, int]]:
+    mid = (d0 + d1) // 2
+    return [(d0, mid), (mid + 1, d1)]
+
+
+def _by_halving(big: DataFrame, window: int) -> DataFrame:
+    """The same for contexts of very common anchors, by halving the offsets of their windows.
+
+    Windows whose anchor stands d0 to d1 words after their start share a core of words; a range of a context is keyed by the hash of its
+    core. A key of weight 1 has no repeated window; where all ranges of a key are equal words, all their windows are repeated; other keys
+    are halved, down to single windows, whose core is the window. Every step is an aggregate by key, so no task needs a key's rows.
+    """
+    span = window - GRAM
+    schema = "anchor long, ctx long, weight long, h binary, place int, d0 int, d1 int, first int, number int, key long, sub long"
+
+    def divide(whole: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                cols: list[list] = [[] for _ in range(11)]
+                for r in b.to_pylist():
+                    h = np.frombuffer(r["h"], np.uint64)
+                    roll, n = _Rolling(h), len(h) - window + 1
+                    if whole:
+                        g = gram_hashes(h, GRAM).view(np.int64)
+                        place = int(np.nonzero(g == r["anchor"])[0][0])
+                        ranges = [(0, span)]
+                    else:
+                        place, ranges = r["place"], _halves(r["d0"], r["d1"])
+                    for d0, d1 in ranges:
+                        lo, hi = max(0, place - d1), min(n - 1, place - d0)  # windows by their starts
+                        if lo > hi:
+                            continue
+                        at, end = np.array([place - d0, lo]), np.array([place - d1 + window, hi + window])
+                        key, sub = mix(roll.runs(at, end) + np.array([(d0 << 16) + d1, (place - lo << 16) + d1], np.uint64)).view(np.int64).tolist()
+                        for c, v in zip(cols, (r["anchor"], r["ctx"], r["weight"], r["h"], place, d0, d1, lo, hi - lo + 1, key, sub), strict=True):
+                            c.append(v)
+                kinds = (pa.int64(),) * 3 + (pa.binary(),) + (pa.int32(),) * 5 + (pa.int64(),) * 2
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=[c.split()[0] for c in schema.split(", ")])
+
+        return run
+
+    rows = written(big.select("anchor", "ctx", "weight", "h").mapInArrow(divide(True), schema), "ranges")
+    done = []
+    while rows.take(1):
+        per = rows.groupBy("anchor", "key").agg(F.sum("weight").alias("n"), F.min("sub").alias("x"), F.max("sub").alias("y")).where("n > 1")
+        per = per.select(F.col("anchor").alias("a"), F.col("key").alias("k"), (F.col("x") == F.col("y")).alias("same"))
+        met = written(rows.join(per, (F.col("anchor") == F.col("a")) & (F.col("key") == F.col("k"))).drop("a", "k"), "ranges-met")
+        done.append(met.where("same").select("anchor", "ctx", "first", "number"))
+        rows = written(met.where("not same").mapInArrow(divide(False), schema), "ranges")
+    every = rows.select("anchor", "ctx", "first", "number")
+    for d in done:
+        every = every.unionByName(d)
+    return every.groupBy("anchor", "ctx").agg(F.sort_array(F.collect_list(F.struct("first", "number"))).alias("spans"))  # at most one a window
 
 
 def spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -272,7 +306,7 @@ def spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     size = distinct.groupBy("anchor").agg(F.count(F.lit(1)).alias("of")).select(F.col("anchor").alias("k"), (F.col("of") > BIG).alias("big"))
     texts = written(_texts(docs, distinct.join(size, F.col("anchor") == F.col("k")).drop("k"), window), "references")
     release(spark)
-    resolved = written(_by_automata(texts.where("not big"), window).unionByName(_by_counts(texts.where("big"), window)), "resolved")
+    resolved = written(_by_automata(texts.where("not big"), window).unionByName(_by_halving(texts.where("big"), window)), "resolved")
     release(spark)
     part = mixed.join(resolved.withColumnsRenamed({"anchor": "a", "ctx": "c"}), (F.col("anchor") == F.col("a")) & (F.col("ctx") == F.col("c")))
     part = part.select("doc", "tie", F.transform("spans", lambda s: F.struct((F.col("first") + s["first"]).alias("first"), s["number"].alias("number"))).alias("spans"))
