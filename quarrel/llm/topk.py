@@ -27,7 +27,7 @@ from quarrel.llm.vectors import blocked, usable
 K = 10
 SCALE = 1024
 QUERY_BLOCK, DATA_BLOCK = 1024, 4096
-LEAF, FAN = 24, 48
+LEAF, FAN = 256, 24  # wide leaves: in many dimensions few nodes are pruned, and a leaf is one product
 _NONE = np.iinfo(np.int64).min
 
 
