@@ -26,6 +26,38 @@ def module_of(path: Column) -> Column:
     return F.regexp_extract(path, r"^(?:\.{0,2}/)*([^/]*)", 1)
 
 
+def base(path: Column) -> Column:
+    return F.regexp_extract(path, "([^/]*)$", 1)
+
+
+def stem(path: Column) -> Column:
+    """The last segment without its last extension."""
+    return F.regexp_extract(base(path), r"^(.*?)(?:\.[^.]*)?$", 1)
+
+
+def is_test(path: Column) -> Column:
+    return base(path).rlike(r"\.(test|spec)\.") | path.contains("__tests__")
+
+
+def is_entry(path: Column) -> Column:
+    return stem(path).isin("index", "main", "app", "server")
+
+
+def is_config(path: Column) -> Column:
+    return base(path).rlike(r"(^|\.)(config|setup)(\.|$)")
+
+
+def suffixes(path: Column, most: int = 5) -> Column:
+    """The runs of one to `most` trailing segments."""
+    parts = F.filter(F.split(path, "/"), lambda x: x != "")
+    n = F.least(F.size(parts), F.lit(most))
+    return F.when(n > 0, F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda k: F.array_join(F.slice(parts, -k, k), "/"))).otherwise(F.array().cast("array<string>"))
+
+
+def count_bin(n: Column) -> Column:
+    return F.when(n <= 1, "1").when(n <= 3, "2-3").when(n <= 7, "4-7").when(n <= 15, "8-15").otherwise("16+")
+
+
 def source_kind(spec: Column) -> Column:
     """What an import names: relative, absolute, alias, url or package."""
     return F.when(spec.rlike(r"^\.{1,2}(/|$)"), "relative").when(spec.startswith("/"), "absolute").when(spec.rlike("^[@~]/"), "alias").when(spec.rlike("^[a-z]+://"), "url").otherwise("package")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarrel.plans import written
@@ -72,12 +72,62 @@ def closure(edges: DataFrame) -> DataFrame:
     return pairs
 
 
-def cycles(edges: DataFrame) -> DataFrame:
-    """Strongly connected components of two nodes or more: id (least node), size, members, severity by size."""
+def neighbours(edges: DataFrame) -> DataFrame:
+    """node, successors and predecessors of edges(src, dst), sorted and comma-joined."""
+    e = edges.select("src", "dst").distinct()
+    joined = lambda c: F.array_join(F.transform(F.sort_array(F.collect_list(c)), lambda x: x.cast("string")), ",")
+    out, into = e.groupBy(F.col("src").alias("node")).agg(joined("dst").alias("successors")), e.groupBy(F.col("dst").alias("node")).agg(joined("src").alias("predecessors"))
+    return out.join(into, "node", "full_outer").select("node", F.coalesce("successors", F.lit("")).alias("successors"), F.coalesce("predecessors", F.lit("")).alias("predecessors"))
+
+
+def strong(edges: DataFrame) -> DataFrame:
+    """(node, scc) of the nodes on a cycle of two nodes or more; scc is its least node."""
     p = closure(edges.where("src <> dst"))
     mutual = p.join(p.select(F.col("dst").alias("src"), F.col("src").alias("dst")), ["src", "dst"])
-    labels = mutual.groupBy(F.col("src").alias("node")).agg(F.min("dst").alias("scc"))
-    groups = labels.groupBy("scc").agg(F.count("node").alias("size"), F.array_join(F.transform(F.sort_array(F.collect_list("node")), lambda x: x.cast("string")), ",").alias("members")).where("size > 1")
+    return mutual.groupBy(F.col("src").alias("node")).agg(F.min("dst").alias("scc"))
+
+
+def _labelled(edges: DataFrame) -> DataFrame:
+    """edges with scc_src and scc_dst, which are the nodes themselves off cycles."""
+    found = written(strong(edges), "strong")
+    on = lambda side: found.select(F.col("node").alias(side), F.col("scc").alias(f"s_{side}"))
+    e = edges.join(on("src"), "src", "left").join(on("dst"), "dst", "left")
+    return e.withColumn("scc_src", F.coalesce("s_src", "src")).withColumn("scc_dst", F.coalesce("s_dst", "dst"))
+
+
+def condensation(edges: DataFrame) -> DataFrame:
+    """scc_src, scc_dst, links and the least link (src, dst) between every two strongly connected components."""
+    least = F.min(F.struct("src", "dst"))
+    per = _labelled(edges.select("src", "dst").distinct()).where("scc_src <> scc_dst").groupBy("scc_src", "scc_dst").agg(F.count(F.lit(1)).alias("links"), least.alias("m"))
+    return per.select("scc_src", "scc_dst", "links", "m.src", "m.dst")
+
+
+def break_edges(edges: DataFrame) -> DataFrame:
+    """scc, src, dst, weight: the lightest of edges(src, dst, weight) inside each cycle, the first of equals."""
+    inside = _labelled(edges.where("src <> dst")).where("scc_src = scc_dst")
+    return inside.groupBy(F.col("scc_src").alias("scc")).agg(F.min(F.struct("weight", "src", "dst")).alias("m")).select("scc", "m.src", "m.dst", "m.weight")
+
+
+def module_risk(metrics: DataFrame) -> DataFrame:
+    """Risk of each node by its links and its distance from the main sequence."""
+    links, far = F.col("ca") + F.col("ce"), F.col("distance")
+    return metrics.select("node", F.when((links >= 10) | (far > 0.5), "high").when((links >= 5) | (far > 0.3), "medium").otherwise("low").alias("risk"))
+
+
+def flow_features(steps: DataFrame, key: str, order: list[str], block: str) -> DataFrame:
+    """Per key: blocks, distinct edges between successive ones by kind (loops, conds out of branching blocks, plain), cyclomatic, branching."""
+    s = steps.select(key, F.col(block).alias("at"), F.lead(block).over(Window.partitionBy(key).orderBy(*order)).alias("to"))
+    out = s.where("to is not null").distinct().groupBy(key, "at").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("at") == F.col("to"), 1)).alias("l"))
+    fork, zero = F.col("n") > 1, F.lit(0)
+    kinds = out.groupBy(key).agg(F.sum("n").alias("edges"), F.sum("l").alias("loops"), F.sum(F.when(fork, F.col("n") - F.col("l")).otherwise(0)).alias("conds"), F.sum(F.when(fork, 0).otherwise(F.col("n") - F.col("l"))).alias("plain"), F.avg(F.when(fork, F.col("n"))).alias("branching"))
+    f = s.groupBy(key).agg(F.countDistinct("at").alias("blocks")).join(kinds, key, "left")
+    f = f.select(key, "blocks", *[F.coalesce(c, zero).alias(c) for c in ("edges", "loops", "conds", "plain")], F.coalesce("branching", F.lit(0.0)).alias("branching"))
+    return f.withColumn("cyclomatic", F.col("edges") - F.col("blocks") + 2).withColumn("turns", F.col("loops") + F.col("conds"))
+
+
+def cycles(edges: DataFrame) -> DataFrame:
+    """Strongly connected components of two nodes or more: id (least node), size, members, severity by size."""
+    groups = strong(edges).groupBy("scc").agg(F.count("node").alias("size"), F.array_join(F.transform(F.sort_array(F.collect_list("node")), lambda x: x.cast("string")), ",").alias("members")).where("size > 1")
     return groups.withColumn("severity", F.when(F.col("size") <= 2, "low").when(F.col("size") <= 4, "medium").when(F.col("size") <= 6, "high").otherwise("critical"))
 
 

@@ -98,6 +98,19 @@ def cbo_buckets(metrics: DataFrame) -> DataFrame:
     return metrics.groupBy(label.alias("bucket")).agg(F.count(F.lit(1)).alias("classes"))
 
 
+def cbo_summary(metrics: DataFrame) -> DataFrame:
+    c = F.col("cbo")
+    return metrics.agg(F.count(c).alias("classes"), F.round(F.avg(c), 6).alias("avg_cbo"), F.min(c).alias("min_cbo"), F.max(c).alias("max_cbo"), _count_if(c <= CBO_RISK[0]).alias("low_risk"), _count_if((c > CBO_RISK[0]) & (c <= CBO_RISK[1])).alias("medium_risk"), _count_if(c > CBO_RISK[1]).alias("high_risk"))
+
+
+def after_terminator(statements: DataFrame, keys: list[str], ends: Column, reason: Column) -> DataFrame:
+    """keys, reason, dead: how many of statements(keys, at, ...) come after the first that ends its block. Blocks are met by an
+    aggregate and a join, so a long one is not sorted in one task."""
+    first = statements.where(ends).groupBy(*keys).agg(F.min(F.struct("at", reason.alias("reason"))).alias("m"))
+    met = statements.select(*keys, "at").join(first, keys).where(F.col("at") > F.col("m.at"))
+    return met.groupBy(*keys, F.col("m.reason").alias("reason")).agg(F.count(F.lit(1)).alias("dead"))
+
+
 def lcom4(accesses: DataFrame) -> DataFrame:
     """Cohesion of accesses(class, method, target): components of the methods of a class that share a target, and risk."""
     node = lambda kind, c: F.xxhash64("class", F.lit(kind), c)

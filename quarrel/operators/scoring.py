@@ -21,6 +21,48 @@ def health(penalties: list[Column], budgets: list[int]) -> Column:
     return F.greatest(F.lit(0), F.least(F.lit(100), F.when(able > 0, 100 - F.round(100.0 * spent / able)).otherwise(100))).cast("long")
 
 
+def linear_penalty(value: Column, start: float, saturate: float, budget: int = BUDGET) -> Column:
+    """Nothing up to the start, then linear to the budget at saturation; missing data (NaN, null) costs nothing."""
+    share = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (value.cast("double") - start) / (saturate - start)))
+    return F.when(value.isNull() | F.isnan(value.cast("double")), 0).otherwise(F.round(share * budget)).cast("long")
+
+
+def duplication_penalty(percent: Column) -> Column:
+    return linear_penalty(percent, 0, 60)
+
+
+def coupling_penalty(high: Column, medium: Column, total: Column) -> Column:
+    return ratio_penalty(high + 0.3 * medium, total, 0.4)
+
+
+def parse_error_penalty(skipped: Column, total: Column) -> Column:
+    """One unread file costs an A (11 points), nothing read leaves less than a D (56)."""
+    share = F.least(F.lit(1.0), F.try_divide(skipped.cast("double"), total.cast("double")))
+    return F.when((skipped > 0) & (total > 0), F.greatest(F.round(share * 56), F.lit(11))).otherwise(0).cast("long")
+
+
+def architecture_penalty(compliance: Column) -> Column:
+    return linear_penalty(1 - compliance, 0, 1, 12)
+
+
+def dependency_penalty(total: Column, in_cycles: Column, depth: Column, deviation: Column) -> Column:
+    """Cycles (10 at most: their share, or the logarithm of their modules), depth beyond the expected (3) and deviation (3)."""
+    cycles = F.least(F.lit(10.0), F.greatest(F.log2(in_cycles + 1), 10 * F.least(F.lit(1.0), F.try_divide(in_cycles.cast("double"), total.cast("double")))))
+    over = depth - F.greatest(F.lit(3), F.ceil(F.log2(total + 1)) + 1)
+    some = F.when((total > 0) & (in_cycles > 0), F.round(cycles)).otherwise(0)
+    deep = F.when(total > 0, F.greatest(F.lit(0), F.least(F.lit(3), over))).otherwise(0)
+    return (some + deep + F.round(3 * F.greatest(F.lit(0.0), F.least(F.lit(1.0), deviation)))).cast("long")
+
+
+def to_base(penalty: Column, most: int) -> Column:
+    """A penalty of `most` at most on the scale of the budget."""
+    return F.greatest(F.lit(0), F.least(F.lit(BUDGET), F.round(penalty * (1.0 * BUDGET) / most))).cast("long")
+
+
+def penalty_score(penalty: Column, most: int) -> Column:
+    return F.greatest(F.lit(0), F.least(F.lit(100), 100 - F.round(penalty * 100.0 / most))).cast("long")
+
+
 def grade(score: Column) -> Column:
     return F.when(score >= 90, "A").when(score >= 75, "B").when(score >= 60, "C").when(score >= 45, "D").otherwise("F")
 

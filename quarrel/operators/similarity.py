@@ -25,6 +25,49 @@ def normalised(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(text), r"[ \t\r\n]+", " "))
 
 
+def jaccard(a: Column, b: Column) -> Column:
+    """Of two arrays of distinct items; two empty ones are equal."""
+    both = F.size(F.array_intersect(a, b))
+    return F.when(F.size(a) + F.size(b) == 0, 1.0).otherwise(both / F.greatest(F.size(a) + F.size(b) - both, F.lit(1)))
+
+
+def ladder(same: Column, sim: Column, steps: tuple[float, ...] = (0.85, 0.75, 0.7, 0.65)) -> tuple[Column, Column]:
+    """(kind of copy, similarity): kind 1 needs equal text; others stay just below its threshold, and take the strongest kind they reach."""
+    first = same & (sim >= steps[0])
+    capped = F.when(first, sim).otherwise(F.least(sim, F.lit(steps[0] - 1e-12)))
+    kind = F.when(first, 1)
+    for i, least in enumerate(steps[1:], 2):
+        kind = kind.when(capped >= least, i)
+    return kind.otherwise(0), capped
+
+
+def count_likeness(a: Column, b: Column) -> Column:
+    """1 for equal counts, less the share of the greater by which they differ."""
+    top = F.greatest(F.abs(a), F.abs(b))
+    return F.when(top == 0, 1.0).otherwise(1 - F.try_divide(F.abs(a - b).cast("double"), top.cast("double")))
+
+
+def cosine(a: list[Column], b: list[Column]) -> Column:
+    """Of two histograms over one list of bins: 1 if both are empty, 0 if one is."""
+    dot = lambda x, y: sum((p * q for p, q in zip(x, y, strict=True)), F.lit(0)).cast("double")
+    return F.when((dot(a, a) == 0) & (dot(b, b) == 0), 1.0).otherwise(F.coalesce(F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))), F.lit(0.0)))
+
+
+def flow_likeness(x: Column, y: Column) -> Column:
+    """Weighted likeness of two structs of graph.flow_features."""
+    weights = {"blocks": 0.2, "edges": 0.15, "cyclomatic": 0.25, "branching": 0.1, "turns": 0.05}  # fixed values
+    kinds = ("loops", "conds", "plain")
+    return sum((w * count_likeness(x[c], y[c]) for c, w in weights.items()), 0.25 * cosine([x[k] for k in kinds], [y[k] for k in kinds]))
+
+
+def duplication(items: DataFrame, key: str) -> DataFrame:
+    """Per key: fragments, those whose normalised text occurs again anywhere, and their percentage. Counted by digest before any join."""
+    per = items.where("text is not null").select(key, F.sha2(normalised(F.col("text")), 256).alias("digest")).groupBy("digest", key).agg(F.count(F.lit(1)).alias("n"))
+    again = per.groupBy("digest").agg(F.sum("n").alias("of"))
+    counts = per.join(again, "digest").groupBy(key).agg(F.sum("n").alias("fragments"), F.sum(F.when(F.col("of") > 1, F.col("n")).otherwise(0)).alias("clones"))
+    return counts.select(key, "fragments", "clones", F.round(100.0 * F.col("clones") / F.col("fragments"), 6).alias("duplication"))
+
+
 def exact_groups(items: DataFrame) -> DataFrame:
     """Groups of two or more of items(id, text) with equal normalised text: digest, size, least id. Texts do not leave their task."""
     return items.where("text is not null").select("id", F.sha2(normalised(F.col("text")), 256).alias("digest")).groupBy("digest").agg(F.count("id").alias("size"), F.min("id").alias("first_id")).where("size > 1")

@@ -184,11 +184,15 @@ edges AS (SELECT src, dst FROM (SELECT *, avg(weight) OVER (PARTITION BY src) AS
 
 
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return weighted_edges(spark, sf_dir).select("src", "dst")
+
+
+def weighted_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     li, o, c, s = (table(spark, sf_dir, t) for t in ("lineitem", "orders", "customer", "supplier"))
     met = li.select("l_orderkey", "l_suppkey").join(o.select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey")).join(c.select("c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey")).join(s.select("s_suppkey", "s_nationkey"), F.col("l_suppkey") == F.col("s_suppkey"))
     w = met.groupBy(F.col("c_nationkey").cast("long").alias("src"), F.col("s_nationkey").cast("long").alias("dst")).agg(F.count(F.lit(1)).alias("weight"))
     mean = F.avg("weight").over(Window.partitionBy("src"))
-    return w.withColumn("mean", mean).where("weight > 1.5 * mean and src <> dst").select("src", "dst")
+    return w.withColumn("mean", mean).where("weight > 1.5 * mean and src <> dst").select("src", "dst", "weight")
 
 
 COUPLING = f"""{EDGES}, n AS (SELECT n_nationkey::BIGINT AS node, count(c_custkey) FILTER (WHERE c_acctbal < 0)::DOUBLE / greatest(count(c_custkey), 1) AS a
