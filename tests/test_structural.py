@@ -80,3 +80,22 @@ def test_files_and_streaming_merge(spark, tmp_path):
     both = merge_into(state, f, "module").first()
     assert (both.functions, both.avg_cc, both.high_risk) == (4, 14.0, 2)
     assert metrics.histogram(f).count() == 5
+
+
+def test_penalties_at_their_bounds(spark):
+    lit, nan = F.lit, F.lit(float("nan"))
+    cols = [scoring.duplication_penalty(nan), scoring.duplication_penalty(lit(75.0)), scoring.parse_error_penalty(lit(1), lit(1000)), scoring.parse_error_penalty(lit(9), lit(3)), scoring.parse_error_penalty(lit(1), lit(0)), scoring.coupling_penalty(lit(1), lit(0), lit(0)), scoring.dependency_penalty(lit(0), lit(0), lit(9), lit(0.0)), scoring.dependency_penalty(lit(4), lit(4), lit(99), lit(2.0))]
+    assert list(spark.range(1).select(*[c.alias(f"c{i}") for i, c in enumerate(cols)]).first()) == [0, 20, 11, 56, 0, 0, 0, 16]
+
+
+def test_copies_ladder(spark):
+    rows = spark.createDataFrame([(True, 1.0), (True, 0.8), (False, 1.0), (False, 0.72), (False, 0.66), (False, 0.1)], "same boolean, sim double")
+    kind, sim = similarity.ladder(F.col("same"), F.col("sim"))
+    assert [(r.k, round(r.s, 6)) for r in rows.select(kind.alias("k"), sim.alias("s")).collect()] == [(1, 1.0), (2, 0.8), (2, 0.85), (3, 0.72), (4, 0.66), (0, 0.1)]
+
+
+def test_path_suffixes_of_nothing(spark):
+    from quarrel import functions as fn
+
+    got = spark.createDataFrame([("/a/b.js",), ("",), ("/",)], "p string").select(fn.suffixes(F.col("p")).alias("s"), fn.stem(F.col("p")).alias("stem")).collect()
+    assert [(r.s, r.stem) for r in got] == [(["b.js", "a/b.js"], "b"), ([], ""), ([], "")]
