@@ -61,3 +61,22 @@ def count_bin(n: Column) -> Column:
 def source_kind(spec: Column) -> Column:
     """What an import names: relative, absolute, alias, url or package."""
     return F.when(spec.rlike(r"^\.{1,2}(/|$)"), "relative").when(spec.startswith("/"), "absolute").when(spec.rlike("^[@~]/"), "alias").when(spec.rlike("^[a-z]+://"), "url").otherwise("package")
+
+
+def axis_ceiling(top: Column) -> Column:
+    """The least of 1, 2, 3, 5, 6 and 10 times the power of ten below a positive number that reaches it."""
+    mag = F.pow(F.lit(10.0), F.floor(F.log10(top.cast("double"))))
+    steps = F.when(top <= mag, 1)
+    for k in (2, 3, 5, 6):
+        steps = steps.when(top <= k * mag, k)
+    return (steps.otherwise(10) * mag).cast("long")
+
+
+def compatible(a: Column, b: Column) -> Column:
+    """Two sets of signals meet; an empty one meets all."""
+    return (F.size(a) == 0) | (F.size(b) == 0) | F.arrays_overlap(a, b)
+
+
+def disjoint(a: Column, b: Column) -> Column:
+    """Both hold two signals or more and share none."""
+    return (F.size(a) >= 2) & (F.size(b) >= 2) & ~F.arrays_overlap(a, b)

@@ -39,3 +39,21 @@ def maximal(spans: DataFrame) -> DataFrame:
     order = Window.partitionBy("key").orderBy("s", F.col("e").desc(), "span_id").rowsBetween(Window.unboundedPreceding, -1)
     reach = F.max("e").over(order)
     return spans.withColumn("reach", reach).where(F.col("reach").isNull() | (F.col("e") > F.col("reach"))).drop("reach")
+
+
+def enclosing(spans: DataFrame, points: DataFrame) -> DataFrame:
+    """point_id, depth and scopes (ids of the other spans around the point, widest first, joined by slashes). Scopes of a point are as many as it is deep."""
+    met = points.join(spans.select("key", "span_id", F.col("s").alias("from"), "e"), "key").where((F.col("from") <= F.col("at")) & (F.col("at") <= F.col("e")) & (F.col("span_id") != F.col("point_id")))
+    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    found = met.select("point_id", F.struct((micros("from") - micros("e")).alias("w"), "span_id").alias("m")).groupBy("point_id").agg(F.sort_array(F.collect_list("m")).alias("l"))
+    return found.select("point_id", F.size("l").cast("long").alias("depth"), F.array_join(F.transform("l", lambda x: x["span_id"].cast("string")), "/").alias("scopes"))
+
+
+def unshadowed(uses: DataFrame, hiding: DataFrame) -> DataFrame:
+    """uses(key, at, ...) that no span of hiding(key, s, e) covers. One window over both: a use is covered if the furthest end of the spans
+    that began before it reaches it, so no use meets every span of its key."""
+    names = [c for c in uses.columns if c not in ("key", "at")]
+    marks = hiding.select("key", F.col("s").alias("at"), F.col("e").alias("end"), F.lit(0).alias("kind"), *[F.lit(None).cast(uses.schema[c].dataType).alias(c) for c in names])
+    both = marks.unionByName(uses.select("key", "at", F.lit(None).cast(hiding.schema["e"].dataType).alias("end"), F.lit(1).alias("kind"), *names))
+    reach = F.max("end").over(Window.partitionBy("key").orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return both.withColumn("reach", reach).where((F.col("kind") == 1) & (F.col("reach").isNull() | (F.col("reach") < F.col("at")))).select("key", "at", *names)

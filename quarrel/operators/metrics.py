@@ -118,3 +118,35 @@ def lcom4(accesses: DataFrame) -> DataFrame:
     edges = accesses.where("target is not null").select(node("m", "method").alias("a"), node("t", "target").alias("b"))
     found = methods.join(components(edges), F.col("node") == F.col("id"), "left")
     return found.groupBy("class").agg(F.count("method").alias("methods"), F.countDistinct(F.coalesce("component", "node")).alias("lcom4")).select("class", "methods", "lcom4", risk(F.col("lcom4"), LCOM_RISK).alias("risk"))
+
+
+def histogram_median(hist: DataFrame) -> DataFrame:
+    """median, functions and values_seen of hist(v, n), one row a value. The window is over the distinct values alone."""
+    upto = hist.withColumn("upto", F.sum("n").over(Window.orderBy("v"))).withColumn("total", F.sum("n").over(Window.partitionBy()))
+    low = F.min(F.when(F.col("upto") >= F.floor((F.col("total") + 1) / 2), F.col("v")))
+    high = F.min(F.when(F.col("upto") >= F.floor(F.col("total") / 2) + 1, F.col("v")))
+    return upto.agg(((low + high) / 2.0).cast("double").alias("median"), F.sum("n").alias("functions"), F.count(F.lit(1)).alias("values_seen"))
+
+
+def common_root(files: DataFrame) -> DataFrame:
+    """root: the leading folders that all of files(path) share. What the least and the greatest folder share, all between them share."""
+    parts = F.split("path", "/")
+    folder = F.slice(parts, F.lit(1), F.size(parts) - 1)
+    ends = files.where("path is not null").agg(F.min(folder).alias("l"), F.max(folder).alias("h"))
+    same = F.transform(F.arrays_zip("l", "h"), lambda p: (p["l"] == p["h"]) & p["l"].isNotNull() & p["h"].isNotNull())
+    n = F.array_position(F.transform(same, lambda x: F.coalesce(x, F.lit(False))), False)
+    shared = F.when(n == 0, F.size("l")).otherwise(n - 1).cast("int")
+    return ends.select(F.array_join(F.slice("l", F.lit(1), shared), "/").alias("root"))
+
+
+def patch_delta(functions: DataFrame, key: str) -> DataFrame:
+    """Per key of functions(key, before, after), where 0 means absent: worst increase, most complex new one, how many went, any worse."""
+    before, after = F.col("before"), F.col("after")
+    grown, zero = (before > 0) & (after > before), F.lit(0)
+    worst = F.max(F.when((before > 0) & (after > 0), after - before))
+    return functions.groupBy(key).agg(
+        F.coalesce(worst, zero).cast("long").alias("worst_increase"),
+        F.coalesce(F.max(F.when(before == 0, after)), zero).cast("long").alias("new_max"),
+        F.count(F.when(after == 0, 1)).alias("removed"),
+        F.coalesce(F.bool_or(grown), F.lit(False)).alias("worse"),
+    )

@@ -68,6 +68,14 @@ def duplication(items: DataFrame, key: str) -> DataFrame:
     return counts.select(key, "fragments", "clones", F.round(100.0 * F.col("clones") / F.col("fragments"), 6).alias("duplication"))
 
 
+def membership(items: DataFrame, key: str) -> DataFrame:
+    """Per key: fragments, members of groups of equal normalised text, and groups. Digests are counted per key before the groups are known."""
+    per = items.where("text is not null").select(key, F.sha2(normalised(F.col("text")), 256).alias("digest")).groupBy("digest", key).agg(F.count(F.lit(1)).alias("n"))
+    again = per.groupBy("digest").agg(F.sum("n").alias("of"))
+    inside = F.col("of") > 1
+    return per.join(again, "digest").groupBy(key).agg(F.sum("n").alias("fragments"), F.sum(F.when(inside, F.col("n")).otherwise(0)).alias("members"), F.count(F.when(inside, 1)).alias("groups"))
+
+
 def exact_groups(items: DataFrame) -> DataFrame:
     """Groups of two or more of items(id, text) with equal normalised text: digest, size, least id. Texts do not leave their task."""
     return items.where("text is not null").select("id", F.sha2(normalised(F.col("text")), 256).alias("digest")).groupBy("digest").agg(F.count("id").alias("size"), F.min("id").alias("first_id")).where("size > 1")
