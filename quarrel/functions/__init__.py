@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -80,3 +80,23 @@ def compatible(a: Column, b: Column) -> Column:
 def disjoint(a: Column, b: Column) -> Column:
     """Both hold two signals or more and share none."""
     return (F.size(a) >= 2) & (F.size(b) >= 2) & ~F.arrays_overlap(a, b)
+
+
+def strip_comments(text: Column, opened: str, closed: str) -> Column:
+    """The text without what stands from a mark to the next closing mark; an unclosed comment stays."""
+    return F.regexp_replace(text, rf"(?s)\Q{opened}\E.*?\Q{closed}\E", "")
+
+
+def band(score: Column) -> Column:
+    """ok, watch or poor."""
+    return F.when(score >= 75, "ok").when(score >= 45, "watch").otherwise("poor")
+
+
+def joined_snippets(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
+    """rows(key, order..., text) with again (the first line repeats the line before it and goes) and kept (the text less such a line).
+    The rows of a key stay rows: no task gathers a whole key's text."""
+    lines = F.split("text", "\n")
+    before = F.lag(F.element_at(lines, -1)).over(Window.partitionBy(key).orderBy(*order))
+    again = F.coalesce(before == F.element_at(lines, 1), F.lit(False))
+    marked = rows.withColumn("again", again)
+    return marked.withColumn("kept", F.when(F.col("again"), F.regexp_replace("text", r"(?s)^[^\n]*\n?", "")).otherwise(F.col("text")))

@@ -150,3 +150,10 @@ def patch_delta(functions: DataFrame, key: str) -> DataFrame:
         F.count(F.when(after == 0, 1)).alias("removed"),
         F.coalesce(F.bool_or(grown), F.lit(False)).alias("worse"),
     )
+
+
+def checks(rows: DataFrame, rules: dict[str, Column]) -> DataFrame:
+    """rule, failures and rows checked for each rule that says what is wrong; a rule of unknown outcome does not fail."""
+    counts = rows.agg(F.count(F.lit(1)).alias("checked"), *[F.count(F.when(bad, 1)).alias(f"r{i}") for i, bad in enumerate(rules.values())])
+    listed = F.array(*[F.struct(F.lit(name).alias("rule"), F.col(f"r{i}").alias("failures")) for i, name in enumerate(rules)])
+    return counts.select("checked", F.explode(listed).alias("r")).select("r.rule", "r.failures", "checked")

@@ -119,3 +119,53 @@ def distinct_imports(spark, sf_dir):
     """Distinct names a file takes, in order of their first place."""
     per = table(spark, sf_dir, "events").groupBy("user_id", F.col("event_type").alias("name")).agg(F.min("event_id").alias("first_id"), F.count(F.lit(1)).alias("usages"))
     return per.withColumn("place", F.row_number().over(Window.partitionBy("user_id").orderBy("first_id")).cast("long"))
+
+
+# ---- outcomes, texts and checks ----
+
+
+@query("""SELECT lang, count(*) AS instances, count(*) FILTER (WHERE quality = 1) AS resolved, count(*) FILTER (WHERE quality = 1 AND nearby) AS also_before
+FROM (SELECT d.lang, l.quality, EXISTS (SELECT 1 FROM labels p WHERE p.doc_id = l.doc_id - 1 AND p.quality = 1) AS nearby FROM labels l JOIN documents d ON d.doc_id = l.doc_id WHERE l.toxic = 0) x GROUP BY lang""")
+def patch_outcomes(spark, sf_dir):
+    """Labelled rows are instances, toxic ones destructive and left out; resolved ones are counted, and those whose neighbour is too."""
+    labels, docs = table(spark, sf_dir, "labels"), table(spark, sf_dir, "documents").select("doc_id", "lang")
+    good = labels.where("quality = 1").select((F.col("doc_id") + 1).alias("doc_id")).distinct().withColumn("nearby", F.lit(True))
+    met = labels.where("toxic = 0").join(docs, "doc_id").join(good, "doc_id", "left")
+    resolved = F.col("quality") == 1
+    return met.groupBy("lang").agg(F.count(F.lit(1)).alias("instances"), F.count(F.when(resolved, 1)).alias("resolved"), F.count(F.when(resolved & F.col("nearby"), 1)).alias("also_before"))
+
+
+@query(r"""WITH t AS (SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations), l AS (SELECT *, string_split(text, chr(10)) AS lines FROM t),
+b AS (SELECT *, coalesce(lines[1] = lag(lines[-1]) OVER (PARTITION BY conv_id ORDER BY turn, role, text), false) AS again FROM l)
+SELECT conv_id, turn, role, again, md5(CASE WHEN again THEN array_to_string(list_slice(lines, 2, len(lines)), chr(10)) ELSE text END) AS digest FROM b""")
+def joined_snippets(spark, sf_dir):
+    """Turns of a conversation as pieces of one text; a first line that repeats the line before it is dropped."""
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", F.coalesce("text", F.lit("")).alias("text"))
+    return fn.joined_snippets(c, "conv_id", ["turn", "role", "text"]).select("conv_id", "turn", "role", "again", F.md5("kept").alias("digest"))
+
+
+@query(r"""WITH s AS (SELECT page_id, html, regexp_replace(html, '(?s)<!--.*?-->', '', 'g') AS bare FROM pages)
+SELECT page_id, length(html) - length(bare) AS comment_chars, len(list_filter(string_split(bare, chr(10)), lambda x: trim(replace(replace(x, chr(9), ' '), chr(13), ' ')) <> ''))::BIGINT AS code_lines FROM s""")
+def comment_free_lines(spark, sf_dir):
+    """Characters in comments of a page, and lines that are not blank without them."""
+    bare = fn.strip_comments(F.col("html"), "<!--", "-->")
+    return table(spark, sf_dir, "pages").select("page_id", (F.length("html") - F.length(bare)).cast("long").alias("comment_chars"), fn.code_lines(bare).alias("code_lines"))
+
+
+@query("""WITH o AS (SELECT l_orderkey, l_linenumber, l_quantity <= 0 AS quantity, l_discount < 0 OR l_discount > 1 AS discount, l_shipdate < o_orderdate AS early, o_orderkey IS NULL AS orphan FROM lineitem LEFT JOIN orders ON o_orderkey = l_orderkey)
+SELECT r.name AS rule, count(*) FILTER (WHERE r.bad) AS failures, count(*) AS checked FROM o, LATERAL (VALUES ('quantity', quantity), ('discount', discount), ('early', early), ('orphan', orphan)) r(name, bad) GROUP BY 1""")
+def validity_checks(spark, sf_dir):
+    """Range and consistency rules and how many rows fail each, in one pass."""
+    li, o = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate")
+    met = li.join(o, F.col("l_orderkey") == F.col("o_orderkey"), "left")
+    rules = {"quantity": F.col("l_quantity") <= 0, "discount": (F.col("l_discount") < 0) | (F.col("l_discount") > 1), "early": F.col("l_shipdate") < F.col("o_orderdate"), "orphan": F.col("o_orderkey").isNull()}
+    return metrics.checks(met, rules)
+
+
+@query(f"""WITH {PLACED}, n AS (SELECT nation, 100 - round(100 * least(1, (count(*) FILTER (WHERE complexity > 9) * 1.0 / count(*)) / 0.3))::BIGINT AS score FROM placed GROUP BY nation)
+SELECT nation, score::BIGINT AS score, CASE WHEN score >= 75 THEN 'ok' WHEN score >= 45 THEN 'watch' ELSE 'poor' END AS band FROM n""")
+def score_bands(spark, sf_dir):
+    """Score of each nation by its share of complex functions, full at none and 0 at three tenths, and its band."""
+    share = F.count(F.when(F.col("complexity") > 9, 1)) * 1.0 / F.count(F.lit(1))
+    score = F.lit(100) - F.round(100 * F.least(F.lit(1.0), share / 0.3)).cast("long")
+    return placed(spark, sf_dir).groupBy("nation").agg(score.alias("score")).withColumn("band", fn.band(F.col("score")))
