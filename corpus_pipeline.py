@@ -18,8 +18,8 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates."""
-    return minhash.deduplicated(docs)
+    """One document of each group of near-duplicates, linked at a similarity of 0.8 or more."""
+    return minhash.deduplicated(docs, percent=80)
 
 
 def mask_private_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

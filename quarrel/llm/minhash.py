@@ -3,7 +3,8 @@
 1. Each whole text becomes its set of five-word shingles (hashes), and the set two collections of ROWS-wise min-hashes: LEFT and RIGHT
    bands, computed once. Equal sets are one class, represented by their least doc_id.
 2. Table keys are all pairs (left band i, right band j): LEFT x RIGHT tables for LEFT + RIGHT bands of min-hashes, so about the square
-   root of the hashes of plain banding. A pair of similarity 0.85 shares a key with probability 0.99985, one of 0.9 with 0.999996.
+   root of the hashes of plain banding. A pair of similarity 0.85 shares a key with probability 0.99985, one of 0.9 with 0.999996. A lower
+   percentage has more bands (side()), so that a pair just at it is missed no more often: 14 x 14 tables at 0.8, probability 0.99991.
 3. Members of a key are joined to its least member; the components of those star edges are candidate clusters.
 4. Clusters are compared on full sets, all pairs inside a block of bounded size with dense products; a large cluster is dealt into bands
    of set size (a link spans at most neighbouring bands) and salted blocks, and pairs of blocks are separate units of work. A unit passes
@@ -17,7 +18,9 @@ columns are ignored by groups() and kept by deduplicated(). An empty table gives
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -33,9 +36,19 @@ ROWS, LEFT, RIGHT = 3, 10, 10
 BLOCK_DOCS = 256
 BLOCK_SHINGLES = 1 << 19
 
-_RNG = np.random.default_rng(9)
-_MUL = _RNG.integers(0, 1 << 63, (LEFT + RIGHT) * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_ADD = _RNG.integers(0, 1 << 63, (LEFT + RIGHT) * ROWS, dtype=np.uint64)
+
+def side(percent: int) -> int:
+    """Bands of a side, so that a pair of just this similarity is missed no more often than one of PERCENT by LEFT bands."""
+    miss = lambda p: math.log1p(-((p / 100) ** ROWS))
+    return max(LEFT, math.ceil(LEFT * miss(PERCENT) / miss(percent) - 1e-9))
+
+
+@cache
+def _draws(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Factors and summands of the min-hashes of n bands."""
+    rng = np.random.default_rng(9)
+    mul = rng.integers(0, 1 << 63, n * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    return mul, rng.integers(0, 1 << 63, n * ROWS, dtype=np.uint64)
 
 
 def shingles(text: str | None, k: int = SHINGLE) -> np.ndarray:
@@ -44,11 +57,12 @@ def shingles(text: str | None, k: int = SHINGLE) -> np.ndarray:
     return np.unique(gram_hashes(h, min(k, len(h)))) if len(h) else np.empty(0, np.uint64)
 
 
-def bands(s: np.ndarray) -> np.ndarray:
-    """LEFT + RIGHT band hashes of a set that is not empty."""
-    low = np.full(len(_MUL), np.iinfo(np.uint64).max, np.uint64)
+def bands(s: np.ndarray, n: int = LEFT + RIGHT) -> np.ndarray:
+    """n band hashes of a set that is not empty."""
+    mul, add = _draws(n)
+    low = np.full(len(mul), np.iinfo(np.uint64).max, np.uint64)
     for at in range(0, len(s), 2048):
-        low = np.minimum(low, (s[None, at : at + 2048] * _MUL[:, None] + _ADD[:, None]).min(1))
+        low = np.minimum(low, (s[None, at : at + 2048] * mul[:, None] + add[:, None]).min(1))
     low = low.reshape(-1, ROWS)
     out = low[:, 0].copy()
     for k in range(1, ROWS):
@@ -62,8 +76,9 @@ def _set_id(s: np.ndarray) -> tuple[int, int]:
     return (d >> 64) - (1 << 63), (d & ((1 << 64) - 1)) - (1 << 63)
 
 
-def _digests(docs: DataFrame) -> DataFrame:
+def _digests(docs: DataFrame, percent: int) -> DataFrame:
     """doc_id, n, s1, s2 (the set's identity) and both collections of bands, a row for each row."""
+    half = side(percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -74,9 +89,9 @@ def _digests(docs: DataFrame) -> DataFrame:
                 ids = _set_id(s)
                 s1.append(ids[0])
                 s2.append(ids[1])
-                v = bands(s).view(np.int64) if len(s) else np.empty(0, np.int64)
-                left.append(v[:LEFT])
-                right.append(v[LEFT:])
+                v = bands(s, 2 * half).view(np.int64) if len(s) else np.empty(0, np.int64)
+                left.append(v[:half])
+                right.append(v[half:])
             longs = pa.list_(pa.int64())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), pa.array(left, longs), pa.array(right, longs)], names=["doc_id", "n", "s1", "s2", "l", "r"])
 
@@ -91,7 +106,7 @@ def _candidates(classes: DataFrame) -> DataFrame:
     return keys.withColumn("b", first).where("id <> b").select(F.col("id").alias("a"), "b").distinct()
 
 
-def _compare(group: pa.Table) -> list[tuple[int, int]]:
+def _compare(group: pa.Table, percent: int) -> list[tuple[int, int]]:
     """A forest of the links inside a unit: between its sides 0 and 1, or within a unit that has side 0 alone."""
     ids, side = group.column("id").to_numpy(), group.column("side").to_numpy()
     sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in group.column("s")]
@@ -116,7 +131,7 @@ def _compare(group: pa.Table) -> list[tuple[int, int]]:
             m[owner[lo:hi], col[lo:hi] - at] = 1
             inter += m @ m.T
         inter = inter.astype(np.int64)
-    linked = 100 * inter >= PERCENT * (sizes[:, None] + sizes[None] - inter)
+    linked = 100 * inter >= percent * (sizes[:, None] + sizes[None] - inter)
     if side.any():
         linked &= side[:, None] != side[None]
     forest, out = Union(n), []
@@ -126,10 +141,10 @@ def _compare(group: pa.Table) -> list[tuple[int, int]]:
     return out
 
 
-def _links(docs: DataFrame, clusters: DataFrame) -> DataFrame:
+def _links(docs: DataFrame, clusters: DataFrame, percent: int) -> DataFrame:
     """A spanning set of the confirmed links (a, b). clusters: id, cluster, n, s1."""
-    # A band's sizes differ by less than 1 / 0.85, so linked sets are of one band or of neighbours.
-    banded = clusters.withColumn("band", F.floor(F.log("n") / float(-np.log(PERCENT / 100))).cast("int"))
+    # A band's sizes differ by less than 100 / percent, so linked sets are of one band or of neighbours.
+    banded = clusters.withColumn("band", F.floor(F.log("n") / float(-np.log(percent / 100))).cast("int"))
     total = banded.groupBy("cluster").agg(F.count(F.lit(1)).alias("docs"), F.sum("n").alias("grams"))
     split = (F.col("docs") > BLOCK_DOCS) | (F.col("grams") > BLOCK_SHINGLES)
     banded = banded.join(total.select("cluster", split.alias("split")), "cluster")
@@ -168,7 +183,7 @@ def _links(docs: DataFrame, clusters: DataFrame) -> DataFrame:
         out: list[tuple[int, int]] = []
         for group in runs(batches):
             if group.num_rows > 1:
-                out += _compare(group)
+                out += _compare(group, percent)
             if len(out) > 20_000:
                 yield pa.RecordBatch.from_pylist([{"a": a, "b": b} for a, b in out], schema=schema)
                 out = []
@@ -178,17 +193,17 @@ def _links(docs: DataFrame, clusters: DataFrame) -> DataFrame:
     return dealt.mapInArrow(verify, "a long, b long")
 
 
-def groups(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for each row of docs(doc_id, text)."""
+def groups(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept for each row of docs(doc_id, text); links are of percent (below 100) or more."""
     spark = docs.sparkSession
-    digests = written(_digests(docs), "minhash")
+    digests = written(_digests(docs, percent), "minhash")
     sets = digests.where("n > 0 and doc_id is not null").groupBy("s1", "s2").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("l").alias("l"), F.first("r").alias("r"))
     classes = written(sets, "classes")
     release(spark)
     edges = written(_candidates(classes), "candidates")
     release(spark)
     clusters = components(edges).withColumnRenamed("component", "cluster").join(classes.select("id", "n", "s1"), "id")
-    links = written(_links(docs, written(clusters, "clusters")), "links")
+    links = written(_links(docs, written(clusters, "clusters"), percent), "links")
     release(spark)
     labels = components(links)
     # Rows that share a doc_id belong together whatever their texts.
@@ -198,12 +213,12 @@ def groups(docs: DataFrame) -> DataFrame:
     return joined.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
 
 
-def deduplicated(docs: DataFrame) -> DataFrame:
+def deduplicated(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The rows of docs that stay, with their columns: of each group the row whose doc_id is its component, and of repeated rows one."""
     names = docs.columns
     plain = docs.toDF(*[f"c{i}" for i in range(len(names))])
     at = {n: F.col(f"c{i}") for i, n in enumerate(names)}
-    kept = groups(docs).where("kept and doc_id is not null").select("doc_id").distinct()
+    kept = groups(docs, percent).where("kept and doc_id is not null").select("doc_id").distinct()
     once = plain.join(kept, at["doc_id"] == F.col("doc_id"), "left_semi").withColumn("same", tie(at["text"]))
     rows = once.dropDuplicates([f"c{names.index('doc_id')}", "same"]).drop("same").unionByName(plain.where(at["doc_id"].isNull()))
     return rows.select(*[F.col(f"c{i}").alias(n) for i, n in enumerate(names)])

@@ -51,7 +51,7 @@ def op8_cover_tree_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_tensor_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash.groups(_table(spark, sf_dir, "documents"))
+    return minhash.groups(_table(spark, sf_dir, "documents"), percent=85)
 
 
 def op10_nbsvm_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

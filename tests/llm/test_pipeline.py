@@ -1,5 +1,7 @@
 """The pipeline's contract: stages, columns and what each keeps."""
 
+import random
+
 import corpus_pipeline
 
 
@@ -16,3 +18,26 @@ def test_stages_keep_the_contract(spark, sf, tmp_path):
     packed = corpus_pipeline.STAGES[-1][1](spark, docs, sf)
     assert {r[0] for r in packed.select("doc_id").distinct().collect()} == {r[0] for r in docs.select("doc_id").distinct().collect()}
     assert corpus_pipeline.run(spark, sf).count() == packed.count()
+
+
+def test_near_duplicates_from_80_percent_against_brute_force(spark):
+    rng = random.Random(8)
+    texts = []
+    for _ in range(12):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(rng.randint(150, 260))]
+        for edits in (0, 3, 4, 5, 6):
+            copy = list(base)
+            for k in range(edits):
+                copy[(k + 1) * len(base) // (edits + 1)] = f"new{rng.randrange(10**6)}"
+            texts.append(" ".join(copy))
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for t in texts]
+    sims = {(i, j): len(sets[i] & sets[j]) / len(sets[i] | sets[j]) for j in range(len(sets)) for i in range(j)}
+    assert sum(0.8 <= v < 0.85 for v in sims.values()) > 10
+    up = list(range(len(sets)))
+    for (i, j), v in sims.items():
+        if v >= 0.8:
+            a, b = up[i], up[j]
+            up = [min(a, b) if x in (a, b) else x for x in up]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()}
+    assert got == {i for i, x in enumerate(up) if i == x}
