@@ -6,6 +6,7 @@ import math
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -146,9 +147,14 @@ def nesting(pages: DataFrame) -> DataFrame:
 
 
 def tree_distance(a: tuple[list[str], list[int]], b: tuple[list[str], list[int]]) -> int:
-    """Edit distance of two ordered trees with unit costs, by the keyroot dynamic programme over post-order."""
+    """Edit distance of two ordered trees with unit costs, by the keyroot dynamic programme over post-order, at any size.
 
-    def order(t: tuple[list[str], list[int]]) -> tuple[list[str], list[int], list[int]]:
+    The forests of all keyroots of b lie side by side in one row, nested ones first, so a row is a few array operations. A running minimum
+    stays within a forest as each lies lower than the one before. Rows are kept while a subtree to their right is open.
+    """
+
+    def order(t: tuple[list[str], list[int]]) -> tuple[list[str], list[int], list[int], dict[int, int]]:
+        """Labels, parents and leftmost leaves in post-order, and the keyroot of each leftmost leaf."""
         labels, parents = t
         kids: list[list[int]] = [[] for _ in labels]
         for i, p in enumerate(parents):
@@ -169,33 +175,61 @@ def tree_distance(a: tuple[list[str], list[int]], b: tuple[list[str], list[int]]
         roots = {}
         for i, v in enumerate(left):
             roots[v] = i
-        return [labels[n] for n in post], left, sorted(roots.values())
-
-    la, lefta, rootsa = order(a)
-    lb, leftb, rootsb = order(b)
-    d = [[0] * len(lb) for _ in la]
-    for i in rootsa:
-        for j in rootsb:
-            i0, j0 = lefta[i], leftb[j]
-            rows, cols = i - i0 + 2, j - j0 + 2
-            f = [[0] * cols for _ in range(rows)]
-            for x in range(1, rows):
-                f[x][0] = x
-            f[0] = list(range(cols))
-            for x in range(1, rows):
-                ax = i0 + x - 1
-                for y in range(1, cols):
-                    by = j0 + y - 1
-                    drop = min(f[x - 1][y], f[x][y - 1]) + 1
-                    if lefta[ax] == i0 and leftb[by] == j0:
-                        f[x][y] = d[ax][by] = min(drop, f[x - 1][y - 1] + (la[ax] != lb[by]))
-                    else:
-                        f[x][y] = min(drop, f[lefta[ax] - i0][leftb[by] - j0] + d[ax][by])
-    return d[-1][-1]
-
-
-def neighbours_tree_distance(pages: DataFrame, limit: int = 500) -> DataFrame:
-    """Distance and similarity of each page's element tree to that of the next page_id; trees over `limit` elements get a size bound."""
+        return [labels[n] for n in post], [place.get(parents[n], -1) for n in post], left, roots
+
+    if a == b:
+        return 0
+    la, _, lefta, rootsa = order(a)
+    lb, up, leftb, rootsb = order(b)
+    level = dict.fromkeys(sorted(rootsb.values()), 0)
+    for r in level:
+        if up[r] >= 0:
+            above = rootsb[leftb[up[r]]]
+            level[above] = max(level[above], level[r] + 1)
+    parts: list[list[int]] = [[] for _ in range(max(level.values()) + 1)]
+    for r, k in level.items():
+        parts[k].append(r)
+
+    zero, shift, blocks, at, far = [], [], [], 0, 4 * (len(la) + len(lb) + 1)
+    for roots in parts:
+        begin, path, side = at, [], []
+        for r in roots:
+            lo = leftb[r]
+            zero.append(np.arange(r - lo + 2))
+            shift.append(zero[-1] + len(shift) * far)
+            for y in range(lo, r + 1):
+                (path if leftb[y] == lo else side).append((at + y - lo + 1, y, at + leftb[y] - lo))
+            at += r - lo + 2
+        blocks.append((slice(begin, at), *(np.array(x, np.int64).reshape(-1, 3).T for x in (path, side))))
+    zero, shift = np.concatenate(zero), np.concatenate(shift)
+    col, node, before = np.concatenate([x for b3 in blocks for x in b3[1:]], axis=1)
+    code = {w: k for k, w in enumerate(dict.fromkeys(la + lb))}
+    names = np.array([code[w] for w in lb])
+
+    d = np.zeros((len(la), len(lb)), np.int32)
+    for i in sorted(rootsa.values()):
+        row, kept = zero, {}
+        for x in range(lefta[i], i + 1):
+            new = row + 1
+            if lefta[x] == lefta[i]:
+                for part, (pc, pn, _), (sc, sn, sb) in blocks:
+                    new[pc] = np.minimum(new[pc], row[pc - 1] + (names[pn] != code[la[x]]))
+                    new[sc] = np.minimum(new[sc], zero[sb] + d[x, sn])
+                    new[part] = np.minimum.accumulate(new[part] - shift[part]) + shift[part]
+                    d[x, pn] = new[pc]
+            else:
+                if lefta[x] == x:
+                    kept[x] = row
+                new[col] = np.minimum(new[col], kept[lefta[x]][before] + d[x, node])
+                new = np.minimum.accumulate(new - shift) + shift
+                if rootsa[lefta[x]] == x:
+                    del kept[lefta[x]]
+            row = new
+    return int(d[-1, -1])
+
+
+def neighbours_tree_distance(pages: DataFrame) -> DataFrame:
+    """Distance and similarity of each page's element tree to that of the next page_id, exact at every size."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -203,7 +237,7 @@ def neighbours_tree_distance(pages: DataFrame, limit: int = 500) -> DataFrame:
             for a, c, x, y in zip(b["a"], b["b"], b["x"], b["y"], strict=True):
                 s, t = tree(x), tree(y)
                 big = max(len(s[0]), len(t[0]))
-                d = tree_distance(s, t) if big <= limit else abs(len(s[0]) - len(t[0]))
+                d = tree_distance(s, t)
                 out.append((a, c, d, round(1 - min(d, big) / big, 6)))
             yield pd.DataFrame(out, columns=["a", "b", "distance", "similarity"])
 

@@ -1,5 +1,8 @@
 """Bindings against their SQL, and operators on small fixtures."""
 
+import random
+from functools import cache
+
 import duckdb
 import pandas as pd
 import pytest
@@ -99,3 +102,31 @@ def test_path_suffixes_of_nothing(spark):
 
     got = spark.createDataFrame([("/a/b.js",), ("",), ("/",)], "p string").select(fn.suffixes(F.col("p")).alias("s"), fn.stem(F.col("p")).alias("stem")).collect()
     assert [(r.s, r.stem) for r in got] == [(["b.js", "a/b.js"], "b"), ([], ""), ([], "")]
+
+
+def test_tree_distance_is_exact_at_every_size(spark):
+    """Against the plain recursion over forests on small trees, and on pages of equal size over 500 elements."""
+
+    def plain(x, y):
+        @cache
+        def dist(f, g):
+            if not f or not g:
+                return size(f) + size(g)
+            (a, fa), (b, gb) = f[-1], g[-1]
+            return min(dist(f[:-1] + fa, g) + 1, dist(f, g[:-1] + gb) + 1, dist(f[:-1], g[:-1]) + dist(fa, gb) + (a != b))
+
+        size = lambda f: sum(1 + size(k) for _, k in f)
+
+        def nested(t, i=0):
+            return (t[0][i], tuple(nested(t, j) for j, p in enumerate(t[1]) if p == i))
+
+        return dist((nested(x),), (nested(y),))
+
+    rng = random.Random(6)
+    page = lambda n: (["#root", *(rng.choice("abc") for _ in range(n))], [-1, *(rng.randint(max(0, i - 3), i) for i in range(n))])
+    for _ in range(60):
+        x, y = page(rng.randint(0, 9)), page(rng.randint(0, 9))
+        assert similarity.tree_distance(x, y) == plain(x, y)
+    row = lambda tag: f"<{tag}><i></i></{tag}>"
+    pages = spark.createDataFrame([(1, row("p") * 400), (2, row("b") * 400), (3, row("b") * 400), (4, row("b") * 399 + "<b></b><i></i>")], "page_id long, html string")
+    assert [r.distance for r in similarity.neighbours_tree_distance(pages).orderBy("a").collect()] == [400, 0, 2]
