@@ -170,6 +170,17 @@ def clone_classify(spark, sf_dir):
     return pair.select("a", "b", kind.cast("long").alias("kind"), F.round(sim, 6).alias("similarity"))
 
 
+@query(rf"""WITH {_grams("g", "doc_id", "documents", 4)}, t AS (SELECT doc_id, trim(regexp_replace(lower(text), '[ \t\r\n]+', ' ', 'g')) AS text FROM documents WHERE text IS NOT NULL),
+c AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY text) AS first FROM t WHERE text <> ''), r AS (SELECT g.doc_id, g.g FROM g JOIN c ON c.doc_id = g.doc_id AND c.first = c.doc_id), n AS (SELECT doc_id, count(*) AS n FROM r GROUP BY doc_id),
+s AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS shared FROM r x JOIN r y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY x.doc_id, y.doc_id),
+p AS (SELECT a, b, least(shared::DOUBLE / (x.n + y.n - shared), 0.85 - 1e-12) AS sim FROM s JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b)
+SELECT first AS a, doc_id AS b, 1::BIGINT AS kind, 1::DOUBLE AS similarity FROM c WHERE doc_id <> first
+UNION ALL SELECT a, b, (CASE WHEN sim >= 0.75 THEN 2 WHEN sim >= 0.7 THEN 3 ELSE 4 END)::BIGINT, round(sim, 6) FROM p WHERE sim >= 0.65""")
+def clone_pairs(spark, sf_dir):
+    """All copies among the documents: kind and similarity of their runs of four words."""
+    return similarity.copies(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"))
+
+
 TAGS = "tags AS (SELECT page_id, lower(unnest(regexp_extract_all(html, '<([a-zA-Z][a-zA-Z0-9]*)', 1))) AS tag FROM pages), hist AS (SELECT page_id, tag, count(*) AS n FROM tags GROUP BY page_id, tag)"
 
 

@@ -130,3 +130,28 @@ def test_tree_distance_is_exact_at_every_size(spark):
     row = lambda tag: f"<{tag}><i></i></{tag}>"
     pages = spark.createDataFrame([(1, row("p") * 400), (2, row("b") * 400), (3, row("b") * 400), (4, row("b") * 399 + "<b></b><i></i>")], "page_id long, html string")
     assert [r.distance for r in similarity.neighbours_tree_distance(pages).orderBy("a").collect()] == [400, 0, 2]
+
+
+def test_copies_are_found_at_any_distance_of_ids(spark):
+    rng = random.Random(9)
+    texts = {}
+    for base in range(0, 400, 40):
+        words = [rng.choice("abcdefghijklmnopqrstuvwxyz") + str(rng.randrange(30)) for _ in range(rng.randint(4, 60))]
+        for k in range(6):
+            texts[base + 7 * k] = " ".join(w if rng.random() > 0.02 * k else "new" for w in words)
+    texts |= {900: "Two words", 950: "two  words", 960: "", 970: " ", 980: "other words", 990: None}
+    plain = {i: " ".join(t.lower().split()) for i, t in texts.items() if t and t.strip()}
+    sets = {i: {tuple(t.split()[j : j + 4]) for j in range(len(t.split()) - 3)} for i, t in plain.items()}
+    first = {}
+    for i in sorted(plain):
+        first.setdefault(plain[i], i)
+    want = {(first[t], i): (1, 1.0) for i, t in plain.items() if first[t] != i}
+    for a in first.values():
+        for b in first.values():
+            union = len(sets[a] | sets[b])
+            if a < b and union and len(sets[a] & sets[b]) / union >= 0.65:
+                sim = min(len(sets[a] & sets[b]) / union, 0.85 - 1e-12)
+                want[a, b] = (2 if sim >= 0.75 else 3 if sim >= 0.7 else 4, round(sim, 6))
+    assert len({k for k, _ in want.values()}) == 4
+    got = similarity.copies(spark.createDataFrame(list(texts.items()), "id long, text string")).collect()
+    assert len(got) == len(want) and {(r.a, r.b): (r.kind, r.similarity) for r in got} == want
