@@ -2,7 +2,8 @@
 
 Text and template are sequences of lower-case words (letters and digits). Words that occur once in both are anchors; the longest
 increasing subsequence of their places is kept, and the gaps between neighbouring anchors are aligned in the same way. A gap without
-anchors matches its equal first and last words. Coverage is the share of the template's words that are aligned. A template is tried
+anchors matches its equal first and last words. The template is aligned with parts of the text of limited span, not once with the whole, so
+notices may be repeated. Coverage is the share of the template's words that are aligned in the best part. A template is tried
 only where enough of its words occur in the text at all, which bounds its coverage from above, so the test loses nothing.
 
 Null and empty texts have no license. Repeated rows give repeated results; extra columns are ignored; texts are aligned whole; ties
@@ -11,16 +12,19 @@ between templates go to the longer template, then to the name. An empty table gi
 
 from __future__ import annotations
 
+import heapq
+import math
 import re
-from bisect import bisect_left
+from bisect import bisect_left, insort
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 THRESHOLD = 0.8
+LONG = 64
 _WORD = re.compile(r"[a-z0-9]+")
 
 # Short notices of public licenses.
@@ -97,6 +101,57 @@ _PARSED = {name: tokens(text) for name, text in TEMPLATES.items()}
 _VOCABULARY = frozenset(w for t in _PARSED.values() for w in t)
 
 
+def regions(ws: list[str], template: list[str], threshold: float = THRESHOLD, fits: Callable[[list[tuple[int, int]]], bool] = lambda pairs: True) -> list[list[tuple[int, int]]]:
+    """The aligned places of all parts of the text that cover the template, apart from each other, best first.
+
+    A part spans at most 1 / threshold times the template's words. Every word of the template that occurs in the text may start one; the
+    words that a window shares with the template, as bags, bound what it aligns, and windows are tried from the highest bound on. One that
+    aligns 95 % of the bound of all others is taken at once. Others then end before it or start after it.
+    """
+    n, need = len(template), Counter(template)
+    most, least = int(n / threshold + 1e-9), math.ceil(threshold * n - 1e-9)
+    at = [i for i, w in enumerate(ws) if w in need]
+    heap: list[tuple[int, int, int, list[tuple[int, int]]]] = []
+    have: Counter[str] = Counter()
+    total = end = 0
+    for s in at:
+        while end < len(at) and at[end] < s + most:
+            w = ws[at[end]]
+            total += have[w] < need[w]
+            have[w] += 1
+            end += 1
+        if total >= least:
+            heap.append((-total, 1, -s, []))
+        have[ws[s]] -= 1
+        total -= have[ws[s]] < need[ws[s]]
+    heapq.heapify(heap)
+    taken: list[tuple[int, int]] = []  # sorted spans
+    out = []
+    while heap:
+        minus, late, start, pairs = heapq.heappop(heap)
+        s = -start
+        k = bisect_left(taken, (s + 1, -1))
+        if k and taken[k - 1][1] >= s:
+            continue
+        e = min(s + most, taken[k][0] if k < len(taken) else len(ws), len(ws))
+        if not late and pairs[-1][0] < e:
+            insort(taken, (pairs[0][0], pairs[-1][0]))
+            if fits(pairs):
+                out.append(pairs)
+            continue
+        bag = sum(min(need[w], c) for w, c in Counter(ws[s:e]).items() if w in need)
+        if bag < least:
+            continue
+        if bag < -minus:
+            heapq.heappush(heap, (-bag, 1, start, []))
+            continue
+        pairs = [(s + i, j) for i, j in align(ws[s:e], template)]
+        if len(pairs) >= least and (n > LONG or fits(pairs)):
+            soon = len(pairs) >= 0.95 * bag
+            heapq.heappush(heap, (-bag - 1 if soon else -len(pairs), 0, -pairs[0][0], pairs))
+    return out
+
+
 def scan(text: str | None, threshold: float = THRESHOLD) -> list[tuple[float, str, int, int, int]]:
     """(coverage, name, aligned words, first and last aligned word of the text) of the templates covered, best first."""
     ws = tokens(text)
@@ -106,8 +161,7 @@ def scan(text: str | None, threshold: float = THRESHOLD) -> list[tuple[float, st
         need = Counter(template)
         if sum(min(n, have[w]) for w, n in need.items()) < threshold * len(template):
             continue
-        pairs = align(ws, template)
-        if len(pairs) >= threshold * len(template):
+        for pairs in regions(ws, template, threshold)[:1]:
             out.append((len(pairs) / len(template), name, len(pairs), pairs[0][0], pairs[-1][0]))
     return sorted(out, key=lambda r: (-r[0], -r[2], r[1]))
 

@@ -274,3 +274,26 @@ def test_quality_edges(docs, spark, empty):
     one = spark.createDataFrame([(3, 1), (4, 1), (4, None), (None, 0)], "doc_id long, quality int")
     assert quality.accepted(docs, one).columns == docs.columns
     assert quality.score(empty, one).count() == 0
+
+
+def test_repeated_notices_against_brute_force():
+    rng, notice = random.Random(5), licenses.tokens("Permission granted to any person to use this work for any purpose")
+    assert licenses.scan("Released under the MIT License. Released under the MIT License.")[0][:3] == (1.0, "MIT-line", 5)
+    assert [licenses.scan((t + " x y z ") * 3)[0][:2] for t in ("Licensed under CC BY-NC 4.0",)] == [(1.0, "CC-BY-NC-4.0")]
+    most = int(len(notice) / licenses.THRESHOLD)
+    met = 0
+    for _ in range(300):
+        ws = []
+        for _ in range(rng.randint(0, 4)):
+            ws += [rng.choice(["to", "any", "x", "use", "y", "person"]) for _ in range(rng.randint(0, 6))]
+            ws += [w for w in notice if rng.random() > rng.choice((0, 0.1, 0.3))]
+        best = max((len(licenses.align(ws[i:j], notice)) for i in range(len(ws)) for j in range(i + 1, min(i + most, len(ws)) + 1)), default=0)
+        got = licenses.regions(ws, notice)
+        assert bool(got) == (best >= licenses.THRESHOLD * len(notice)), ws
+        assert all(len(p) >= licenses.THRESHOLD * len(notice) and p[-1][0] - p[0][0] < most for p in got)
+        spans = sorted((p[0][0], p[-1][0]) for p in got)
+        assert all(x[1] < y[0] for x, y in zip(spans, spans[1:], strict=False))
+        met += len(got) > 1
+    assert met > 30
+    many = licenses.regions(("x " + "released under the mit license " * 2000).split(), licenses.tokens("Released under the MIT License"))
+    assert len(many) == 2000 and all(len(p) == 5 for p in many)
