@@ -6,6 +6,9 @@ anchors matches its equal first and last words. The template is aligned with par
 notices may be repeated. Coverage is the share of the template's words that are aligned in the best part. A template is tried
 only where enough of its words occur in the text at all, which bounds its coverage from above, so the test loses nothing.
 
+Templates are whole licenses and short notices. A notice of another name, variant or version does not match, nor does a whole license whose
+title is of another version. Of templates that match overlapping parts of a text, the one that fits its part best has it.
+
 Null and empty texts have no license. Repeated rows give repeated results; extra columns are ignored; texts are aligned whole; ties
 between templates go to the longer template, then to the name. An empty table gives an empty result.
 """
@@ -18,17 +21,18 @@ import re
 from bisect import bisect_left, insort
 from collections import Counter
 from collections.abc import Callable, Iterator
+from importlib.resources import files
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 THRESHOLD = 0.8
-LONG = 64
+LONG = 64  # words; a part aligned with a longer template of another version is not searched again
 _WORD = re.compile(r"[a-z0-9]+")
 
-# Short notices of public licenses.
-TEMPLATES = {
+# Short notices of public licenses. Those of other names, versions or variants must not match (TELLING).
+NOTICES = {
     "Apache-2.0": "Licensed under the Apache License, Version 2.0",
     "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0",
     "CC-BY-4.0": "Licensed under CC BY 4.0",
@@ -37,12 +41,31 @@ TEMPLATES = {
     "GPL-2.0": "GNU General Public License, version 2",
     "LGPL-3.0": "GNU Lesser General Public License, version 3",
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0",
-    "MIT": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files",
-    "ISC": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted",
-    "BSD-2-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
     "MIT-line": "Released under the MIT License",
     "All-rights": "All rights reserved",
 }
+TELLING = frozenset("apache mozilla eclipse mit bsd isc gnu lesser library affero general public creative commons cc by nc sa nd".split())
+
+# Whole licenses (license_texts) and the words of each that must be aligned.
+WHOLE = {
+    "0BSD": "",
+    "Apache-2.0": "Apache License Version 2.0",
+    "BSD-2-Clause": "",
+    "BSD-3-Clause": "",
+    "BSD-4-Clause": "",
+    "CC0-1.0": "CC0 1.0 Universal",
+    "GPL-1.0": "Version 1, February 1989",
+    "GPL-2.0": "General Public License Version 2, June 1991",
+    "GPL-3.0": "General Public License Version 3, 29 June 2007",
+    "ISC": "",
+    "LGPL-2.0": "Library General Public License Version 2, June 1991",
+    "LGPL-2.1": "Lesser General Public License Version 2.1, February 1999",
+    "LGPL-3.0": "Lesser General Public License Version 3, 29 June 2007",
+    "MIT": "",
+    "MIT-0": "",
+    "MPL-1.1": "Mozilla Public License Version 1.1",
+    "MPL-2.0": "Mozilla Public License Version 2.0",
+}
 
 
 def tokens(text: str | None) -> list[str]:
@@ -97,8 +120,34 @@ def align(a: list[str], b: list[str]) -> list[tuple[int, int]]:
     return sorted(out)
 
 
-_PARSED = {name: tokens(text) for name, text in TEMPLATES.items()}
-_VOCABULARY = frozenset(w for t in _PARSED.values() for w in t)
+def telling(words: list[str]) -> list[str]:
+    """The words that tell a license from another: names, variants and version numbers, without zeros and a leading v."""
+    bare = [w[1:] if w[0] == "v" and w[1:].isdigit() else w for w in words]
+    return [w for w in bare if w.strip("0") and (w in TELLING or any(c.isdigit() for c in w))]
+
+
+def _place(words: list[str], phrase: list[str]) -> frozenset[int]:
+    at = next(i for i in range(len(words)) if words[i : i + len(phrase)] == phrase)
+    return frozenset(range(at, at + len(phrase)))
+
+
+_TEXTS = {n: tokens(files("quarrel.llm").joinpath("license_texts", f"{n}.txt").read_text("utf-8")) for n in WHOLE}
+# Name, words, their counts, and the places that must be aligned (of a notice: none, its telling words are compared).
+_PARSED = [(n, t, Counter(t), None) for n, t in ((n, tokens(x)) for n, x in NOTICES.items())] + [(n, t, Counter(t), _place(t, tokens(WHOLE[n]))) for n, t in _TEXTS.items()]
+_VOCABULARY = frozenset(w for _, t, _, _ in _PARSED for w in t)
+
+
+def common(a: list[str], b: list[str]) -> int:
+    """Length of the longest common subsequence, by bits of an integer."""
+    places: dict[str, int] = {}
+    for j, w in enumerate(b):
+        places[w] = places.get(w, 0) | 1 << j
+    full = free = (1 << len(b)) - 1
+    for w in a:
+        if w in places:
+            met = free & places[w]
+            free = ((free + met) | (free - met)) & full
+    return len(b) - free.bit_count()
 
 
 def regions(ws: list[str], template: list[str], threshold: float = THRESHOLD, fits: Callable[[list[tuple[int, int]]], bool] = lambda pairs: True) -> list[list[tuple[int, int]]]:
@@ -126,12 +175,13 @@ def regions(ws: list[str], template: list[str], threshold: float = THRESHOLD, fi
         total -= have[ws[s]] < need[ws[s]]
     heapq.heapify(heap)
     taken: list[tuple[int, int]] = []  # sorted spans
+    barred: list[tuple[int, int]] = []
     out = []
     while heap:
         minus, late, start, pairs = heapq.heappop(heap)
         s = -start
         k = bisect_left(taken, (s + 1, -1))
-        if k and taken[k - 1][1] >= s:
+        if (k and taken[k - 1][1] >= s) or (late and any(x < s < y for x, y in barred)):
             continue
         e = min(s + most, taken[k][0] if k < len(taken) else len(ws), len(ws))
         if not late and pairs[-1][0] < e:
@@ -146,7 +196,12 @@ def regions(ws: list[str], template: list[str], threshold: float = THRESHOLD, fi
             heapq.heappush(heap, (-bag, 1, start, []))
             continue
         pairs = [(s + i, j) for i, j in align(ws[s:e], template)]
-        if len(pairs) >= least and (n > LONG or fits(pairs)):
+        if len(pairs) < least and n > LONG:
+            # A window moved by t words has at most t more in common with the template: those nearer than what is missing fail too.
+            gap = least - common(ws[s:e], template) if e == min(s + most, len(ws)) else 0
+            if gap > 0:
+                barred.append((s - gap, s + gap))
+        elif len(pairs) >= least and (n > LONG or fits(pairs)):
             soon = len(pairs) >= 0.95 * bag
             heapq.heappush(heap, (-bag - 1 if soon else -len(pairs), 0, -pairs[0][0], pairs))
     return out
@@ -156,14 +211,38 @@ def scan(text: str | None, threshold: float = THRESHOLD) -> list[tuple[float, st
     """(coverage, name, aligned words, first and last aligned word of the text) of the templates covered, best first."""
     ws = tokens(text)
     have = Counter(w for w in ws if w in _VOCABULARY)
-    out = []
-    for name, template in _PARSED.items():
-        need = Counter(template)
-        if sum(min(n, have[w]) for w, n in need.items()) < threshold * len(template):
+    ends: list[int] = []
+
+    def longer(last: int) -> bool:
+        """A version number goes on after the word, other than by zeros."""
+        if not ends:
+            ends.extend(m.end() for m in _WORD.finditer(text.lower()))
+        more = re.compile(r"\.([0-9]+)").match(text.lower(), ends[last]) if ws[last].isdigit() else None
+        return bool(more and more[1].strip("0"))
+
+    found = []
+    for name, template, need, places in _PARSED:
+        if len(ws) < threshold * len(template) or sum(min(n, have[w]) for w, n in need.items()) < threshold * len(template):
+            continue
+        if places is None:
+            told = telling(template)
+            fits = lambda pairs, told=told: telling(ws[pairs[0][0] : pairs[-1][0] + 1]) == told and not longer(pairs[-1][0])
+        else:
+            fits = lambda pairs, places=places: places <= {j for _, j in pairs}
+        for pairs in regions(ws, template, threshold, fits):
+            first, last = pairs[0][0], pairs[-1][0]
+            # Words aligned, less those of the template and of the part that are not: the better of two templates has the part.
+            found.append((3 * len(pairs) - len(template) - (last - first + 1), (len(pairs) / len(template), name, len(pairs), first, last)))
+    spans: list[tuple[int, int]] = []
+    best: dict[str, tuple[float, str, int, int, int]] = {}
+    for _, r in sorted(found, key=lambda f: (-f[0], -f[1][0], f[1][1], f[1][3])):
+        k = bisect_left(spans, (r[3] + 1, -1))
+        if (k and spans[k - 1][1] >= r[3]) or (k < len(spans) and spans[k][0] <= r[4]):
             continue
-        for pairs in regions(ws, template, threshold)[:1]:
-            out.append((len(pairs) / len(template), name, len(pairs), pairs[0][0], pairs[-1][0]))
-    return sorted(out, key=lambda r: (-r[0], -r[2], r[1]))
+        insort(spans, (r[3], r[4]))
+        if r[1] not in best or (-r[0], -r[2]) < (-best[r[1]][0], -best[r[1]][2]):
+            best[r[1]] = r
+    return sorted(best.values(), key=lambda r: (-r[0], -r[2], r[1]))
 
 
 def licensed(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

@@ -297,3 +297,31 @@ def test_repeated_notices_against_brute_force():
     assert met > 30
     many = licenses.regions(("x " + "released under the mit license " * 2000).split(), licenses.tokens("Released under the MIT License"))
     assert len(many) == 2000 and all(len(p) == 5 for p in many)
+
+
+def test_licenses_are_whole_and_of_the_right_version():
+    names = lambda text: [r[1] for r in licenses.scan(text)]
+    whole = {n: " ".join(t) for n, t in licenses._TEXTS.items()}
+    for n, text in whole.items():
+        assert licenses.scan(f"some words {text} more words")[0][:2] == (1.0, n)
+        words = text.split()
+        words[len(words) // 2] = "changed"
+        assert licenses.scan(" ".join(words))[0][1] == n and licenses.scan(" ".join(words))[0][0] < 1
+    assert names(whole["BSD-3-Clause"]) == ["BSD-3-Clause"] and names(whole["BSD-2-Clause"]) == ["BSD-2-Clause"]
+    assert names("Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files") == []
+    assert names("all " + "x " * 2000 + "rights " + "y " * 2000 + "reserved") == []
+    assert names("under the GNU General Public License, version 3") == ["GPL-3.0"]
+    assert names("under the GNU Lesser General Public License, version 3.0") == ["LGPL-3.0"]
+    for other in ("GNU Lesser General Public License, version 2.1", "GNU General Public License, version 4", "GNU Affero General Public License, version 3", "Released under the BSD License", "Licensed under CC BY-NC-ND 4.0", "Licensed under CC BY 3.0", "Licensed under the Apache License, Version 1.1", "GNU General Public License, version 2.1"):
+        assert names(other) == [], other
+
+
+def test_common_words_against_the_plain_table():
+    rng = random.Random(7)
+    for _ in range(300):
+        a, b = ([rng.choice("abcdefg") for _ in range(rng.randint(0, 14))] for _ in range(2))
+        t = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                t[i + 1][j + 1] = t[i][j] + 1 if x == y else max(t[i][j + 1], t[i + 1][j])
+        assert licenses.common(a, b) == t[-1][-1] >= len(licenses.align(a, b))
