@@ -85,7 +85,7 @@ def base_spans(text: str | None) -> list[Span]:
 
 def shape(word: str) -> str:
     """Letters and digits as runs: 'Jo-17' is 'Aa-0'."""
-    cls = "".join("A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdecimal() else c for c in word[:64])
+    cls = "".join("A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdecimal() else c for c in word)
     return "".join(r[0] for r in _RUNS.findall(cls))
 
 

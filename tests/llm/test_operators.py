@@ -325,3 +325,7 @@ def test_common_words_against_the_plain_table():
             for j, y in enumerate(b):
                 t[i + 1][j + 1] = t[i][j] + 1 if x == y else max(t[i][j + 1], t[i + 1][j])
         assert licenses.common(a, b) == t[-1][-1] >= len(licenses.align(a, b))
+
+
+def test_shapes_are_of_whole_words():
+    assert pii.shape("a" * 64 + "-17") == "a-0" and pii.shape("1" * 5000 + "A") == "0A"
