@@ -45,7 +45,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("pack", pack_sequences),
 ]
 
-#: Models, hashes and a tokenizer decide, which SQL cannot express; tests/llm/test_pipeline.py holds stages against brute force.
+#: Models, hashes and a tokenizer decide, which SQL cannot express; tests/llm/test_pipeline.py holds the near-duplicates against brute force.
 ORACLE_SQL: str | None = None
 
 
