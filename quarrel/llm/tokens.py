@@ -1,8 +1,8 @@
 """Token ids by the tokenizers library, through a bounded cache of word pieces.
 
 Both vocabularies split a text before any merge, so the ids of a text are the ids of its pieces in order. Pieces repeat, so their ids are
-taken from a cache that the library fills. Texts with characters outside a plain Latin set, for which that split is not relied on, go to
-the library whole. Strings of special tokens count as ordinary text.
+taken from a cache that the library fills. Texts with characters outside a plain Latin set, for which that split is not relied on, and
+texts that hold the string of an added token in any case go to the library whole, with its settings as the vocabulary's file has them.
 """
 
 from __future__ import annotations
@@ -29,7 +29,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.added = re.compile("|".join(map(re.escape, added)) or "(?!)", re.IGNORECASE)
         self.words = words
         self.cache: dict[str, bytes] = {}
         self.marks: dict[str, bytes] = {}
@@ -41,7 +42,7 @@ class Encoder:
         """Pieces that can be encoded apart, or None where the library gets the text whole."""
         if not text:
             return []
-        if _ODD.search(text):
+        if _ODD.search(text) or self.added.search(text):
             return None
         if self.words:
             return text.lower().split()
