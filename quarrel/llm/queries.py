@@ -34,6 +34,11 @@ def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.takes(_table(spark, sf_dir, "documents"))
 
 
+def mix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part of op4 that SQL can express."""
+    return mixing.takes(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target")
+
+
 def op5_substring_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.digests(_table(spark, sf_dir, "documents"))
 
@@ -66,13 +71,13 @@ def _pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     ops = (op1_pii_crf, op2_tiered_packing, op3_token_files, op4_source_mix, op5_substring_automata, op6_license_patience, op7_embedding_codes, op8_cover_tree_topk, op9_tensor_minhash, op10_nbsvm_quality)
-    return {f.__name__: f for f in ops} | {"pipeline": _pipeline}
+    return {f.__name__: f for f in ops} | {"pipeline": _pipeline, "mix_targets": mix_targets}
 
 
 def oracle_sql() -> dict[str, str]:
     """op8 is plain arithmetic. The others depend on a model, a tokenizer, a hash draw or regular-expression scans that SQL lacks, or are
     too slow in SQL on whole tables (op5, op7, op9); tests/llm hold those against brute force."""
-    return {"op8_cover_tree_topk": _OP8}
+    return {"op8_cover_tree_topk": _OP8, "mix_targets": mixing.TARGETS_SQL}
 
 
 _OP8 = """

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -158,6 +159,31 @@ def test_mix_targets_and_copies(docs, rows, empty):
     assert mixing.takes(empty).count() == 0
 
 
+def test_mix_comes_near_and_draws_are_each_documents_own(spark, sf):
+    got = mixing.takes(spark.read.parquet(f"{sf.replace('0.001', '0.01')}/documents.parquet")).toPandas()
+    per = got.groupby(["target", "source_size"]).taken.sum().reset_index()
+    assert len(per) > 10 and ((per.taken - per.target).abs() <= 0.02 * per.target).all()
+    assert (got.taken <= 3 * got["size"]).all() and (got.groupby(["target", "source_size"]).copies.nunique() <= 2).all()
+    # A few more documents of a large source leave the draws of all others as they are.
+    rows = [(i, f"w{i} " * (i % 7 + 1), "ab"[i % 5 == 0]) for i in range(3000)]
+    few = {r.doc_id: r.copies for r in mixing.takes(spark.createDataFrame(rows[:-3], "doc_id long, text string, source string")).collect()}
+    more = {r.doc_id: r.copies for r in mixing.takes(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert sum(few[i] != more[i] for i in few) <= 6
+
+
+def test_mix_of_long_white_space_and_repeated_rows(spark):
+    gap = " \t\n" * 400_000
+    rows = [(1, gap, "s", 0), (2, f"a{gap}b", "s", 0), (3, f"{gap}c\u00a0d{gap}", "t", 0), *[(4, "e f", "t", k) for k in range(20)]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, copies int")
+    began = time.time()
+    got = mixing.takes(docs).collect()
+    assert time.time() - began < 30
+    assert {r.doc_id: r["size"] for r in got} == {1: 0, 2: 2, 3: 1, 4: 2}
+    assert len({r.copies for r in got if r.doc_id == 4}) == 1
+    out = mixing.emit(docs)
+    assert out.columns == docs.columns and out.where("doc_id = 4").groupBy("copies").count().select("count").distinct().count() <= 1
+
+
 @pytest.mark.parametrize("big", [1, 400])
 def test_substrings_against_counting(docs, rows, empty, big, monkeypatch):
     monkeypatch.setattr(substring, "BIG", big)
