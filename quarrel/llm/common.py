@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -16,10 +17,13 @@ WORD_CLASS = r"[^\x20\x09-\x0D]+"
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder for intermediate tables: spark.checkpoint.dir, or one of our own where it is unset (local tests)."""
+    """The shared folder for intermediate tables: spark.checkpoint.dir. Where that is unset, as in tests, a folder of our own on a local
+    master; a cluster must name one."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
-        at = "/tmp/quarrel-checkpoints"
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        at = tempfile.mkdtemp(prefix="quarrel-")
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
 
@@ -28,7 +32,18 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet into the shared folder and read it back: cuts the lineage and survives lost executors."""
     path = f"{scratch_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Delete the files of written() tables whose readers have all been written themselves."""
+    for t in tables:
+        if path := getattr(t, "_scratch", None):
+            jvm = t.sparkSession._jvm
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def release(spark: SparkSession) -> None:
@@ -117,26 +132,26 @@ def components(edges: DataFrame) -> DataFrame:
     collected but its edge count. Hubs are reduced by partial aggregates. Loops, repeated edges and an empty table are fine; edges with a
     null end are ignored.
     """
-    spark = edges.sparkSession
     e = edges.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).where("a is not null and b is not null")
     e = written(map_batches(e, _forest, "a long, b long").distinct(), "edges")
-    labels = None
-    for turn in range(1, 200):
-        if not e.take(1):
-            break
+    labels, turn = None, 0
+    while e.take(1):  # every round joins at least two nodes, so it ends
+        turn += 1
         both = e.select("a", "b").union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         best = both.groupBy("a").agg(F.min(F.struct(F.xxhash64("b", F.lit(turn)).alias("r"), F.col("b").alias("n"))).alias("m"))
         own = F.struct(F.xxhash64("a", F.lit(turn)).alias("r"), F.col("a").alias("n"))
         step = written(best.select(F.col("a").alias("node"), F.least(F.col("m"), own)["n"].alias("to")), "step")
         if labels is None:
-            labels = step.select(F.col("node").alias("id"), F.col("to").alias("label"))
+            after = step.select(F.col("node").alias("id"), F.col("to").alias("label"))
         else:
             moved = step.select(F.col("node").alias("label"), "to")
-            labels = labels.join(moved, "label", "left").select("id", F.coalesce("to", "label").alias("label"))
-        labels = written(labels, "labels")
-        e = e.join(step.select(F.col("node").alias("a"), F.col("to").alias("a2")), "a").join(step.select(F.col("node").alias("b"), F.col("to").alias("b2")), "b")
-        e = e.select(F.col("a2").alias("a"), F.col("b2").alias("b")).where("a <> b")
-        e = written(map_batches(e, _forest, "a long, b long").distinct(), "edges")
+            after = labels.join(moved, "label", "left").select("id", F.coalesce("to", "label").alias("label"))
+        after = written(after, "labels")
+        n = e.join(step.select(F.col("node").alias("a"), F.col("to").alias("a2")), "a").join(step.select(F.col("node").alias("b"), F.col("to").alias("b2")), "b")
+        n = n.select(F.col("a2").alias("a"), F.col("b2").alias("b")).where("a <> b")
+        n = written(map_batches(n, _forest, "a long, b long").distinct(), "edges")
+        discard(e, step, labels)
+        e, labels = n, after
     if labels is None:
         return e.select(F.col("a").alias("id"), F.col("b").alias("component"))
     least = labels.groupBy("label").agg(F.min("id").alias("component"))

@@ -15,8 +15,9 @@ least-hashed run of GRAM words (leftmost on ties), and equal windows have equal
    until all of a range are repeated or none, by aggregates of hashes, which is exact too and splits over any number of tasks.
 4. Spans go back to their documents, which lose the words under them.
 
-Null and empty texts have no words. Rows that are repeated, with or without doc_id, count as places of their own. Extra columns are
-ignored. A text shorter than WINDOW words is kept whole. An empty table gives an empty result.
+Null and empty texts have no words. Rows that are repeated, with or without doc_id, count as places of their own; their spans are held
+once. Extra columns are ignored. A text shorter than WINDOW words is kept whole. An empty table gives an empty result. Ties of an anchor
+go to its leftmost place, so equal windows have equal anchors.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarrel.llm.common import gram_hashes, mix, release, runs, shuffle_width, tie, word_hashes, words, written
+from quarrel.llm.common import discard, gram_hashes, mix, release, runs, shuffle_width, tie, word_hashes, words, written
 
 WINDOW = 35
 GRAM = 8
@@ -283,10 +284,12 @@ def _by_halving(big: DataFrame, window: int) -> DataFrame:
     done = []
     while rows.take(1):
         per = rows.groupBy("anchor", "key").agg(F.sum("weight").alias("n"), F.min("sub").alias("x"), F.max("sub").alias("y")).where("n > 1")
-        per = per.select(F.col("anchor").alias("a"), F.col("key").alias("k"), (F.col("x") == F.col("y")).alias("same"))
+        per = written(per.select(F.col("anchor").alias("a"), F.col("key").alias("k"), (F.col("x") == F.col("y")).alias("same")), "keys")
         met = written(rows.join(per, (F.col("anchor") == F.col("a")) & (F.col("key") == F.col("k"))).drop("a", "k"), "ranges-met")
         done.append(met.where("same").select("anchor", "ctx", "first", "number"))
-        rows = written(met.where("not same").mapInArrow(divide(False), schema), "ranges")
+        after = written(met.where("not same").mapInArrow(divide(False), schema), "ranges")
+        discard(rows)
+        rows = after
     every = rows.select("anchor", "ctx", "first", "number")
     for d in done:
         every = every.unionByName(d)
@@ -297,21 +300,30 @@ def spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """doc, tie, spans: for each document with repeated windows their starts as (first, number). docs: doc, tie, text."""
     spark = docs.sparkSession
     found = written(_found(docs, window), "contexts")
-    many = found.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.min("ctx").alias("lo"), F.max("ctx").alias("hi")).where("n > 1").select(F.col("anchor").alias("k"), (F.col("lo") == F.col("hi")).alias("same"))
+    # What is joined with a hot anchor's contexts is a written table, so that both sides of the join are plain shuffles, which Spark can
+    # split (or broadcasts, by its own check of the size).
+    many = found.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.min("ctx").alias("lo"), F.max("ctx").alias("hi")).where("n > 1")
+    many = written(many.select(F.col("anchor").alias("k"), (F.col("lo") == F.col("hi")).alias("same")), "anchors")
     again = written(found.join(many, F.col("anchor") == F.col("k")).drop("k"), "repeated")
+    discard(found, many)
     release(spark)
     mixed = again.where("not same")
     distinct = mixed.groupBy("anchor", "ctx").agg(F.count(F.lit(1)).alias("weight"), F.min(F.struct("doc", "tie", "first", "number")).alias("rep"))
     distinct = written(distinct, "distinct")
-    size = distinct.groupBy("anchor").agg(F.count(F.lit(1)).alias("of")).select(F.col("anchor").alias("k"), (F.col("of") > BIG).alias("big"))
+    size = written(distinct.groupBy("anchor").agg(F.count(F.lit(1)).alias("of")).select(F.col("anchor").alias("k"), (F.col("of") > BIG).alias("big")), "sizes")
     texts = written(_texts(docs, distinct.join(size, F.col("anchor") == F.col("k")).drop("k"), window), "references")
+    discard(distinct, size)
     release(spark)
     resolved = written(_by_automata(texts.where("not big"), window).unionByName(_by_halving(texts.where("big"), window)), "resolved")
+    discard(texts)
     release(spark)
     part = mixed.join(resolved.withColumnsRenamed({"anchor": "a", "ctx": "c"}), (F.col("anchor") == F.col("a")) & (F.col("ctx") == F.col("c")))
     part = part.select("doc", "tie", F.transform("spans", lambda s: F.struct((F.col("first") + s["first"]).alias("first"), s["number"].alias("number"))).alias("spans"))
     whole = again.where("same").select("doc", "tie", F.array(F.struct("first", "number")).alias("spans"))
-    return written(whole.unionByName(part).groupBy("doc", "tie").agg(F.flatten(F.collect_list("spans")).alias("spans")), "spans")
+    # Repeated rows have equal spans: a set holds no more than one row's.
+    out = written(whole.unionByName(part).groupBy("doc", "tie").agg(F.flatten(F.collect_set("spans")).alias("spans")), "spans")
+    discard(again, resolved)
+    return out
 
 
 def keep_mask(n: int, found: list[dict] | None, window: int = WINDOW) -> np.ndarray:

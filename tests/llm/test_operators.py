@@ -199,6 +199,16 @@ def test_substrings_against_counting(docs, rows, empty, big, monkeypatch):
     assert substring.digests(empty).count() == 0
 
 
+def test_many_equal_rows_hold_one_rows_spans(spark):
+    text = passage(200)
+    rows = [(None, text)] * 2000 + [(1, text), (2, passage(80))]
+    got = substring.digests(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    assert len(got) == 2002 and {(r.n_words, r.n_removed) for r in got} == {(200, 200), (80, 0)}
+    base = spark.createDataFrame(rows, "doc long, text string").selectExpr("doc", "xxhash64(text) AS tie", "text")
+    sizes = [len(r.spans) for r in substring.spans(base).collect()]
+    assert max(sizes) <= 200
+
+
 def test_licenses():
     text = " ".join(VOCABULARY[:300]) + " Licensed under the Apache License, Version 2.0. " + " ".join(VOCABULARY[300:])
     assert licenses.scan(text)[0][:3] == (1.0, "Apache-2.0", 7 + 1)
@@ -289,6 +299,37 @@ def test_large_cluster_is_dealt_into_blocks(spark, monkeypatch):
     assert {r.component_id for r in got} == {0}
 
 
+def test_minhash_rows_that_share_a_doc_id(spark):
+    base = [[f"{x}{i}" for i in range(120)] for x in "ab"]
+    near = [" ".join([*w[:60], "other", *w[61:]]) for w in base]
+    rows = [(5, " ".join(base[0])), (5, " ".join(base[1])), (5, ""), (7, near[0]), (8, near[1]), (9, "alone here with a few words"), (9, None)]
+    got = minhash.groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.component_id) for r in got) == [(5, 5), (5, 5), (5, 5), (7, 5), (8, 5), (9, 9), (9, 9)]
+
+
+def test_large_cluster_of_several_parts_against_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "BLOCK_DOCS", 6)
+    monkeypatch.setattr(minhash, "HUBS", 1)
+    rng = random.Random(12)
+    texts = []
+    for step in range(0, 90, 6):  # a drifting text: neighbours are alike, the ends are not
+        base = [f"k{i}" for i in range(step, step + 150)]
+        for edits in (0, 1, 1, 2, 4):
+            copy = list(base)
+            for _ in range(edits):
+                copy[rng.randrange(len(copy))] = f"n{rng.randrange(10**6)}"
+            texts.append(" ".join(copy))
+    sets = [set(zip(*(t.split()[i:] for i in range(5)), strict=False)) for t in texts]
+    up = list(range(len(sets)))
+    for j in range(len(sets)):
+        for i in range(j):
+            if 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j]):
+                x, y = up[i], up[j]
+                up = [min(x, y) if u in (x, y) else u for u in up]
+    got = {r.doc_id: r.component_id for r in minhash.groups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == dict(enumerate(up)) and 1 < len(set(up)) < 40
+
+
 def test_quality_on_held_out_rows(spark, sf):
     big = sf.replace("0.001", "0.01")
     labels = spark.read.parquet(f"{big}/labels.parquet").toPandas()
