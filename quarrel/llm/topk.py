@@ -2,13 +2,14 @@
 
 Queries and candidates are integer vectors, floor(scale * x). Both are dealt into blocks of bounded size; a unit of work is a query block
 against a data block, and each holds a cover tree of either side: a node stands for points within its covering radius of a center that
-is one of them, children halve the radius. For a query node (center u, radius s) and a data node (center c, radius r) every inner product
+is one of them, and its children are the rows nearest to centers taken farthest first, until all lie within half the radius of one or there
+are FAN. For a query node (center u, radius s) and a data node (center c, radius r) every inner product
 is at most <u, c> + |c| s + |u| r + r s; the pair of nodes is pruned if that is below the worst kth score in the query group. Query leaves
 search best node first. The k best of every unit meet in a window by query: k rows a data block.
 
 Vectors that are null, empty or hold null or non-finite components, and rows without vec_id, take no part; vectors of different
 dimension are not compared. A query does not meet rows of its own vec_id. Ties go to the smaller vec_id, repeated rows of one vec_id are
-as many candidates. With fewer than k candidates all are returned, and an empty table gives an empty result.
+as many candidates, and repeated query rows are as many queries, each with its k rows. With fewer than k candidates all are returned, and an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from quarrel.llm.vectors import blocked, usable
 
 K = 10
 SCALE = 1024
-QUERY_BLOCK, DATA_BLOCK = 1024, 4096
+QUERY_BLOCK, DATA_BLOCK = 4096, 4096
 LEAF, FAN = 256, 24  # wide leaves: in many dimensions few nodes are pruned, and a leaf is one product
 _NONE = np.iinfo(np.int64).min
 
@@ -132,20 +133,20 @@ def top(embeddings: DataFrame, is_query: str = "vec_id % 100 = 0", k: int = K, s
     """query_id, rank, vec_id, score: the k best of embeddings(vec_id, embedding) for every row that is_query, an SQL condition, selects."""
     spark = embeddings.sparkSession
     rows = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("e")).where(F.col("vec_id").isNotNull() & usable(F.col("e")))
-    ints = rows.select("vec_id", F.size("e").alias("dim"), F.transform("e", lambda x: F.floor(x * scale)).alias("v"))
+    ints = rows.select("vec_id", F.monotonically_increasing_id().alias("row"), F.size("e").alias("dim"), F.transform("e", lambda x: F.floor(x * scale)).alias("v"))
     ints = written(ints, "integers")
     data = blocked(ints, ["dim"], DATA_BLOCK, "blocks")
     queries = blocked(ints.where(is_query), ["dim"], QUERY_BLOCK, "query_blocks")
     count = lambda df, name: df.groupBy("dim").agg(F.first(name).alias(name))
     of = lambda name: F.explode(F.sequence(F.lit(0), F.col(name) - 1)).alias("other")
-    left = queries.join(count(data, "blocks"), "dim").select("vec_id", "v", "dim", F.col("salt").alias("qb"), of("blocks")).select(F.xxhash64("dim", "qb", "other").alias("unit"), F.lit(True).alias("query"), "vec_id", "v")
-    right = data.join(count(queries, "query_blocks"), "dim").select("vec_id", "v", "dim", F.col("salt").alias("db"), of("query_blocks")).select(F.xxhash64("dim", "other", "db").alias("unit"), F.lit(False).alias("query"), "vec_id", "v")
+    left = queries.join(count(data, "blocks"), "dim").select("vec_id", "row", "v", "dim", F.col("salt").alias("qb"), of("blocks")).select(F.xxhash64("dim", "qb", "other").alias("unit"), F.lit(True).alias("query"), "vec_id", "row", "v")
+    right = data.join(count(queries, "query_blocks"), "dim").select("vec_id", "row", "v", "dim", F.col("salt").alias("db"), of("query_blocks")).select(F.xxhash64("dim", "other", "db").alias("unit"), F.lit(False).alias("query"), "vec_id", "row", "v")
     dealt = left.unionByName(right).repartition(shuffle_width(spark), "unit").sortWithinPartitions("unit", "query", "vec_id")
-    schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
+    schema = pa.schema([("query_id", pa.int64()), ("row", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in runs(batches):
-            query, ids = group.column("query").to_numpy(), group.column("vec_id").to_numpy()
+            query, ids, own = (group.column(c).to_numpy() for c in ("query", "vec_id", "row"))
             flat = group.column("v").combine_chunks()
             x = flat.flatten().to_numpy().reshape(len(ids), -1)
             if not query.any() or query.all():
@@ -153,8 +154,8 @@ def top(embeddings: DataFrame, is_query: str = "vec_id % 100 = 0", k: int = K, s
             found = DualSearch(ids[query], x[query], ids[~query], x[~query], k)
             found.run()
             i, j = np.nonzero(found.best_id != np.iinfo(np.int64).max)
-            yield pa.RecordBatch.from_arrays([pa.array(found.query_ids[i]), pa.array(found.best_id[i, j]), pa.array(found.best[i, j])], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.array(found.query_ids[i]), pa.array(own[query][i]), pa.array(found.best_id[i, j]), pa.array(found.best[i, j])], schema=schema)
 
-    best = dealt.mapInArrow(run, "query_id long, vec_id long, score long")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
-    return best.select("query_id", rank.alias("rank"), "vec_id", "score").where(F.col("rank") <= k)
+    best = dealt.mapInArrow(run, "query_id long, row long, vec_id long, score long")
+    rank = F.row_number().over(Window.partitionBy("query_id", "row").orderBy(F.col("score").desc(), "vec_id"))
+    return best.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
