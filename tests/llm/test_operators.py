@@ -260,6 +260,21 @@ def test_vector_links_and_topk(spark):
     assert topk.top(df.where("false")).count() == 0 and neardup_vectors.links(df.where("false")).count() == 0
 
 
+def test_vectors_that_share_an_id_and_dense_units(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    one, two = rng.standard_normal((2, 8))
+    near = lambda v: (v + 0.02 * rng.standard_normal(8)).tolist()
+    data = [(5, one.tolist(), 0), (5, two.tolist(), 1), (6, near(one), 0), (9, near(two), 1), (10, near(two), 1)]
+    df = spark.createDataFrame(data, "vec_id long, embedding array<double>, label int")
+    want = [(5, 1, 5), (5, 2, 5), (6, 1, 5), (9, 2, 5), (10, 2, 5)]
+    assert sorted((r.vec_id, r.n_links, r.component_id) for r in neardup_vectors.links(df).collect()) == want
+    for dense in (0, 10**6):  # all units by vectors, all by pairs
+        monkeypatch.setattr(neardup_vectors, "DENSE", dense)
+        assert sorted((r.vec_id, r.n_links, r.component_id) for r in neardup_vectors.links(df, block=2).collect()) == want
+    twice = spark.createDataFrame([(0, [1.0, 0.0]), (0, [1.0, 0.0]), (1, [0.5, 0.0]), (2, [0.25, 1.0])], "vec_id long, embedding array<double>")
+    assert sorted((r["rank"], r.vec_id, r.score) for r in topk.top(twice).collect()) == [(1, 1, 524288)] * 2 + [(2, 2, 262144)] * 2
+
+
 def test_minhash_against_all_pairs(docs, rows, empty):
     def shingles(text):
         w = WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
