@@ -1,13 +1,15 @@
 """A quality classifier: naive Bayes support vectors over n-gram indicators.
 
-A document's features are indicators of character-class trigrams (upper, lower, digit, white space, each mark on its own) at three levels
-(present, at least 2 % and at least 10 % of all trigrams) and of repeated word bigrams and lines at several levels. They are scaled by
-class log-count ratios (multinomial naive Bayes over indicators) and a linear model with hinge loss is fitted by dual coordinate descent;
-margins on held-in folds calibrate a logistic score.
+A document's features are indicators of word unigrams and bigrams (in hashed buckets), of character-class trigrams (upper, lower, digit,
+white space, each mark on its own) at three levels (present, at least 2 % and at least 10 % of all trigrams), and of the shares of word bigrams
+that repeat a word and of lines that repeat a line. They are scaled by class log-count ratios (multinomial naive Bayes over indicators) and a
+linear model with hinge loss is fitted by dual coordinate descent; margins on held-in folds calibrate a logistic score.
 
 Training uses at most max_train_rows labelled rows (a documented bound, chosen by hash); scoring covers every whole text. Null and empty
-texts have no features and get the score of the intercept. A document with several labels counts once for each distinct one; rows without
-a label are not used. With fewer than two classes the score is the constant share of class 1 (0.5 without labels).
+texts have no features and get the score of the intercept. A document with several labels counts once for each distinct one, and of rows that
+share a labelled doc_id one text is learned from, chosen by hash; rows without a label are not used. With fewer than two classes the score is
+the constant share of class 1 (0.5 without labels). Repeated rows are scored alike; a score at the threshold is accepted; a null doc_id is not
+held out; an empty table gives an empty result. Extra columns are ignored by score() and kept by accepted(), whatever their names.
 """
 
 from __future__ import annotations
@@ -21,12 +23,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quarrel.llm.common import gram_hashes, lower_words, word_hashes
+
 MAX_TRAIN_ROWS = 6000
 THRESHOLD = 0.7
 _N = 32**3
 _LEVELS = (0.0, 0.02, 0.1)
 _REPEATS = (0.02, 0.05, 0.1, 0.2, 0.4, 0.7)
-N_FEATURES = 3 * _N + 2 * len(_REPEATS)
+_WORD_BITS = 17
+_WORDS_AT = 3 * _N + 2 * len(_REPEATS)
+N_FEATURES = _WORDS_AT + (1 << _WORD_BITS)
 
 
 def _classes() -> np.ndarray:
@@ -64,7 +70,10 @@ def features(text: str | None) -> np.ndarray:
     for base, part, whole in ((3 * _N, sum(map(bytes.__eq__, ws, ws[1:])), len(ws) - 1), (3 * _N + len(_REPEATS), len(lines) - len(set(lines)), len(lines))):
         if whole > 0:
             out.append(np.array([base + i for i, t in enumerate(_REPEATS) if part / whole >= t], np.int64))
-    return np.concatenate(out).astype(np.int32) if out else np.empty(0, np.int32)
+    h = word_hashes(lower_words(text))
+    grams = np.concatenate((gram_hashes(h, 1), gram_hashes(h, 2))) >> np.uint64(64 - _WORD_BITS)
+    out.append(np.unique(grams.astype(np.int32)) + _WORDS_AT)
+    return np.concatenate(out).astype(np.int32)
 
 
 @dataclass
@@ -138,9 +147,11 @@ def fit(docs: DataFrame, labels: DataFrame, max_train_rows: int = MAX_TRAIN_ROWS
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([features(t) for t in b.column(2).to_pylist()], pa.list_(pa.int32()))], names=["of", "y", "f"])
 
-    # At most max_train_rows rows of four columns are broadcast and collected, whatever the input.
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("of")).select("of", "y", "text").mapInArrow(run, "of long, y int, f array<int>").limit(2 * max_train_rows).collect()
-    rows.sort(key=lambda r: (r["of"], r["y"], r["f"]))
+    # At most max_train_rows rows of four columns are broadcast, and as many collected, whatever the input.
+    met = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("of"))
+    one = met.groupBy("of", "y").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text"))["text"].alias("text"))
+    rows = one.mapInArrow(run, "of long, y int, f array<int>").collect()
+    rows.sort(key=lambda r: (r["of"], r["y"]))
     return train([np.array(r["f"], np.int32) for r in rows], [r["y"] for r in rows])
 
 

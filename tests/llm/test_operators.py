@@ -354,11 +354,49 @@ def test_quality_on_held_out_rows(spark, sf):
     assert (got.held_out == [zlib.crc32(str(i).encode()) % 4 == 2 for i in got.doc_id]).all()
 
 
+def test_features_are_the_indicators_of_whole_texts():
+    bucket = lambda *ws: quality._WORDS_AT + int(quality.gram_hashes(quality.word_hashes([w.encode() for w in ws]), len(ws))[0] >> np.uint64(64 - quality._WORD_BITS))
+    text = "Red red fish. " * 3 + "x" * 50_000 + " end"
+    f = quality.features(text)
+    words = ["red", "red", "fish.", *(["red", "red", "fish."] * 2), "x" * 50_000, "end"]
+    assert set(f[f >= quality._WORDS_AT].tolist()) == {bucket(w) for w in words} | {bucket(a, b) for a, b in zip(words, words[1:], strict=False)}
+    assert (np.diff(f[f >= quality._WORDS_AT]) > 0).all() and len(quality.features("")) == len(quality.features(None)) == 0
+
+
+def test_solver_reaches_the_dual_optimum():
+    rng = np.random.default_rng(0)
+    rows = [np.unique(rng.integers(0, 40, 6)).astype(np.int32) for _ in range(60)]
+    y = np.array([1.0 if (3 in r or 7 in r or rng.random() < 0.2) else -1.0 for r in rows])
+    w, b = quality._fit(rows, y, 0.5, 400, 1)
+    pos, neg = (1 + sum(np.isin(np.arange(quality.N_FEATURES), r) for r, t in zip(rows, y, strict=True) if (t > 0) == side) for side in (True, False))
+    ratio = np.log(pos / pos.sum()) - np.log(neg / neg.sum())
+    n_pos = int((y > 0).sum())
+    cost = np.where(y > 0, 0.5, 0.5 * min(10.0, n_pos / max(1, len(y) - n_pos)))
+
+    def loss(v, c):
+        margins = np.array([(v * ratio)[r].sum() / np.sqrt(len(r)) + c for r in rows])
+        return (v @ v + c * c) / 2 + (cost * np.maximum(0, 1 - y * margins)).sum()
+
+    best = np.divide(w, ratio, out=np.zeros_like(w), where=ratio != 0)
+    here = loss(best, b)
+    for _ in range(200):  # the loss is convex: no step nearby is lower
+        step = np.zeros_like(best)
+        step[:40] = rng.standard_normal(40) * 10 ** rng.uniform(-4, -1)
+        assert loss(best + step, b + rng.standard_normal() * 0.01) >= here - 1e-4
+
+
 def test_quality_edges(docs, spark, empty):
     none = spark.createDataFrame([], "doc_id long, quality int")
     assert quality.score(docs, none).count() == docs.count()
     one = spark.createDataFrame([(3, 1), (4, 1), (4, None), (None, 0)], "doc_id long, quality int")
     assert quality.accepted(docs, one).columns == docs.columns
+    known = spark.createDataFrame([(i, i % 2) for i in range(37)], "doc_id long, quality int")
+    scores = [r.asDict() for r in quality.score(docs.unionByName(docs), known).collect()]
+    per = defaultdict(set)
+    for r in scores:
+        assert 0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.7)
+        per[r["doc_id"]].add(r["score"])
+    assert len(scores) == 2 * docs.count() and len(per[0] | per[1] | per[2]) <= 2
     assert quality.score(empty, one).count() == 0
 
 
