@@ -9,7 +9,7 @@ Tasks pack pools of bounded size in the order of their input and carry the open
 run again after a loss gives the same pieces. No shuffle and no driver state: ids of sequences hold the task's number above bit 40.
 
 Null and empty texts are one end id. Repeated rows are packed as often as they stand there; a null doc_id stays null. An empty table
-gives no pieces. Columns beyond doc_id and text are ignored.
+gives no pieces. Columns beyond doc_id and text are ignored. Ties: of equally long remainders the one that came last is taken first.
 """
 
 from __future__ import annotations

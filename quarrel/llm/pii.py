@@ -1,11 +1,13 @@
 """Private data: fixed patterns, and a linear-chain CRF over word shapes that adds to what they find.
 
-Base spans come from linear-time scans of the whole text. The CRF sees windows of words around every word that holds a digit or an at
-sign (a word without either never carries a label, by definition of the label set), is trained on the driver from a small labelled table
-that rules below write out, and is decoded by Viterbi in numpy batches. CRF spans that overlap no base span of their kind are added.
-
-Null and empty texts have no spans. Repeated rows give repeated results; columns beyond doc_id and text are ignored by find() and kept by
-redact(). A text of any length is scanned whole.
+Base spans come from linear-time scans of the whole text. The CRF labels whole texts: a word that holds neither a digit nor an at sign has
+the label O by definition of the label set, which parts the chain, so decoding windows of REACH words around all other words gives the very
+path of the whole chain. It is trained on the driver from a small labelled table that rules below write out, and decoded by Viterbi in numpy
+batches. CRF spans that overlap no base span of any kind are added.
+
+Null and empty texts have no spans, an empty table no rows. Repeated rows give repeated results, a null doc_id stays null; columns beyond
+doc_id and text are ignored by find() and kept by redact(), whatever their names. A text of any length is scanned whole. Ties: spans of one
+start are in the order of KINDS; where a base and a CRF span meet, the base one stays; of equal paths Viterbi takes the label listed first.
 """
 
 from __future__ import annotations

@@ -6,8 +6,9 @@ counts); the block index, for each block of 256 ids its minimum (u4), bit width
 PERCENTILE of them; ids that do not fit are exceptions, whose slot holds zeros. Any block decodes alone by its start.
 
 write() range-partitions by doc_id, sorts, and writes images of bounded size as rows of a Parquet table in the folder given (Spark's
-committer makes each task's files appear once, whatever is retried). read() decodes them back. Null doc_ids come first; rows that share a
-doc_id stand next to each other in the order of their texts; null and empty texts hold the end id alone. An empty table gives an empty one.
+committer makes each task's files appear once, whatever is retried). read() decodes them back; Image.ids() starts at any id. Null doc_ids
+come first; rows that share a doc_id stand next to each other in the order of a hash of their texts, repeated rows as often as they stand
+there; null and empty texts hold the end id alone. Extra columns are ignored. An empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -74,36 +75,53 @@ def encode_image(doc_ids: list[int | None], counts: np.ndarray, ids: np.ndarray)
     ))
 
 
-def decode_image(image: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
-    """(doc ids, token counts, ids) of an image."""
-    magic, docs, n, exceptions, size = HEADER.unpack_from(image)
-    if magic != MAGIC:
-        raise ValueError("not a token file")
-    at = HEADER.size
+class Image:
+    """The sections of an image; blocks are decoded when asked for."""
 
-    def part(kind: str, count: int) -> np.ndarray:
-        nonlocal at
-        out = np.frombuffer(image, kind, count, at)
-        at += out.nbytes
-        return out
+    def __init__(self, image: bytes):
+        magic, docs, self.n, exceptions, size = HEADER.unpack_from(image)
+        if magic != MAGIC:
+            raise ValueError("not a token file")
+        at = HEADER.size
 
-    blocks = -(-n // BLOCK)
-    doc_ids, known, counts = part("<i8", docs), part("u1", docs), part("<u8", docs)
-    low, width, n_out, starts = part("<u4", blocks), part("u1", blocks), part("<u2", blocks), part("<u8", blocks)
-    cols, values, data = part("u1", exceptions), part("<u4", exceptions), part("u1", size)
-    grid = np.zeros((blocks, BLOCK), np.uint32)
-    for w in np.unique(width):
-        if w:
-            pick = np.nonzero(width == w)[0]
-            raw = data[starts[pick, None].astype(np.int64) + np.arange(int(w) * (BLOCK // 8))]
-            planes = np.unpackbits(raw, axis=1, bitorder="little").reshape(len(pick), int(w), BLOCK)
-            total = np.zeros((len(pick), BLOCK), np.uint32)
-            for k in range(int(w)):
-                total |= planes[:, k].astype(np.uint32) << np.uint32(k)
-            grid[pick] = total
-    grid[np.repeat(np.arange(blocks), n_out), cols] = values
-    ids = (grid + low[:, None]).reshape(-1)[:n] if blocks else np.empty(0, np.uint32)
-    return [int(d) if k else None for d, k in zip(doc_ids, known, strict=True)], counts.astype(np.int64), ids
+        def part(kind: str, count: int) -> np.ndarray:
+            nonlocal at
+            out = np.frombuffer(image, kind, count, at)
+            at += out.nbytes
+            return out
+
+        blocks = -(-self.n // BLOCK)
+        self.doc_ids, self.known, self.counts = part("<i8", docs), part("u1", docs), part("<u8", docs).astype(np.int64)
+        self.low, self.width, n_out, self.starts = part("<u4", blocks), part("u1", blocks), part("<u2", blocks), part("<u8", blocks)
+        self.cols, self.values, self.data = part("u1", exceptions), part("<u4", exceptions), part("u1", size)
+        self.out_at = np.concatenate(([0], np.cumsum(n_out, dtype=np.int64)))
+
+    def ids(self, start: int = 0, count: int | None = None) -> np.ndarray:
+        """count ids from start on (all to the end if None); only the blocks that hold them are read, by the block index."""
+        end = self.n if count is None else min(self.n, start + count)
+        if start >= end:
+            return np.empty(0, np.uint32)
+        first, last = start // BLOCK, -(-end // BLOCK)
+        width, grid = self.width[first:last], np.zeros((last - first, BLOCK), np.uint32)
+        for w in np.unique(width):
+            if w:
+                pick = np.nonzero(width == w)[0]
+                raw = self.data[self.starts[first + pick, None].astype(np.int64) + np.arange(int(w) * (BLOCK // 8))]
+                planes = np.unpackbits(raw, axis=1, bitorder="little").reshape(len(pick), int(w), BLOCK)
+                total = np.zeros((len(pick), BLOCK), np.uint32)
+                for k in range(int(w)):
+                    total |= planes[:, k].astype(np.uint32) << np.uint32(k)
+                grid[pick] = total
+        lo, hi = self.out_at[first], self.out_at[last]
+        grid[np.repeat(np.arange(last - first), np.diff(self.out_at[first : last + 1])), self.cols[lo:hi]] = self.values[lo:hi]
+        flat = (grid + self.low[first:last, None]).reshape(-1)
+        return flat[start - first * BLOCK : end - first * BLOCK]
+
+
+def decode_image(image: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
+    """(doc ids, token counts, ids) of an image."""
+    i = Image(image)
+    return [int(d) if k else None for d, k in zip(i.doc_ids, i.known, strict=True)], i.counts, i.ids()
 
 
 def write(docs: DataFrame, folder: str, vocabulary: str, end_id: int = 0, words: bool = False) -> None:

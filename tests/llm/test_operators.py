@@ -1,6 +1,7 @@
 """Every operator against brute force or an exact round trip, with nulls, empty and long texts, ties, repeated rows and extra columns."""
 
 import hashlib
+import itertools
 import random
 import re
 import time
@@ -79,6 +80,24 @@ def test_crf_learns_its_table_and_redacts(docs, empty):
     assert pii.find(empty).count() == 0
 
 
+def test_crf_windows_decode_as_whole_texts(monkeypatch):
+    rng, model = random.Random(6), pii.default_model()
+    parts = ["+1", "(523)", "555-7040", "jo@x.org,", "10.0.0.255", "4111", "1111", "a1@", "word", "Words.", "of", "7", "v1.2", "-", "=", "\"ab12\""]
+    texts = [" ".join(rng.choice(parts) for _ in range(rng.randint(0, 60))) for _ in range(400)]
+    found = pii.crf_spans(texts, model)
+    monkeypatch.setattr(pii, "segments", lambda text: [[m.span() for m in WORD.finditer(text)]])
+    assert list(map(sorted, pii.crf_spans(texts, model))) == list(map(sorted, found)) and sum(map(len, found)) > 1000
+
+
+def test_viterbi_against_all_paths():
+    rng = np.random.default_rng(5)
+    emit, trans, lengths = rng.standard_normal((30, 5, 3)), rng.standard_normal((3, 3)), rng.integers(1, 6, 30)
+    got = pii._viterbi(emit, trans, lengths)
+    for e, n, path in zip(emit, lengths, got, strict=True):
+        value = lambda p, e=e: sum(e[i, k] for i, k in enumerate(p)) + sum(trans[a, b] for a, b in zip(p, p[1:], strict=False))
+        assert abs(value(path[:n].tolist()) - max(map(value, itertools.product(range(3), repeat=int(n))))) < 1e-9
+
+
 def test_tokens_equal_the_library():
     rng = random.Random(2)
     texts = ["".join(rng.choice("abcÉß 01.,\n\t'$|²ªİ一’\x85<>") for _ in range(rng.randint(0, 25))) for _ in range(3000)] + ["it's  we'll", "<|endoftext|>", None]
@@ -111,6 +130,51 @@ def test_packing_covers_every_id_once(docs, rows):
         assert at <= 2048
 
 
+def test_tiers_steps_and_pools():
+    rng = random.Random(9)
+    for pool in (40, 64, 10**6):
+        packer, want = packing.Packer(3, (4, 8, 16), 32, pool), {}
+        for doc in range(300):
+            n = rng.choice((1, 2, 3, 5, 7, 9, 15, 16, 17, 40))
+            want[doc] = bytes(rng.randbytes(4 * n))
+            packer.take(doc, want[doc])
+            assert packer.held < pool + 16
+        packer.finish()
+        windows, steps = defaultdict(list), defaultdict(set)
+        for r in packer.rows().to_pylist():
+            windows[r["sequence_id"]].append(r)
+            steps[r["step_group"]].add((r["sequence_id"], r["tier"]))
+            assert r["ids_crc32"] == zlib.crc32(want[r["doc_id"]][4 * r["start"] : 4 * (r["start"] + r["length"])])
+        short = [w for w in windows.values() if sum(r["length"] for r in w) < w[0]["tier"]]
+        assert len(short) <= 1 and all(sum(r["length"] for r in w) <= w[0]["tier"] for w in windows.values())
+        assert {w[0]["tier"] for w in windows.values()} == {4, 8, 16}
+        for members in steps.values():  # one tier, and no more than a step's tokens
+            assert len({t for _, t in members}) == 1 and sum(t for _, t in members) <= 32
+        assert sum(sum(t for _, t in m) < 32 for m in steps.values()) <= 3  # an open one a tier
+        assert sum(r["length"] for w in windows.values() for r in w) == sum(map(len, want.values())) // 4
+
+
+def test_packing_of_an_empty_table(empty):
+    assert packing.pack(empty, tokens.vocabulary("word_bpe_49k.json")).count() == 0
+
+
+def test_many_images_and_reads_from_any_id(spark, docs, rows, tmp_path, monkeypatch):
+    rng = np.random.default_rng(2)
+    ids = rng.integers(0, 60_000, 5000).astype(np.uint32)
+    ids[rng.integers(0, 5000, 40)] = 4_000_000_000
+    image = tokenfile.Image(tokenfile.encode_image([1], np.array([5000]), ids))
+    for at, n in [(0, 5000), (0, 1), (255, 2), (256, 256), (4999, 9), (5000, 3), *rng.integers(0, 5000, (60, 2)).tolist()]:
+        assert (image.ids(at, n) == ids[at : at + n]).all() and len(image.ids(at, n)) == len(ids[at : at + n])
+    monkeypatch.setattr(tokenfile, "IMAGE_TOKENS", 50)
+    path = tokens.vocabulary("byte_bpe_50k.json")
+    tokenfile.write(docs, str(tmp_path / "many"), path)
+    monkeypatch.undo()
+    tokenfile.write(docs, str(tmp_path / "one"), path)
+    many, one = (sorted(map(str, tokenfile.digests(spark, str(tmp_path / k)).collect())) for k in ("many", "one"))
+    assert many == one and len(one) == len(rows)
+    assert spark.read.parquet(str(tmp_path / "many")).count() > spark.read.parquet(str(tmp_path / "one")).count()
+
+
 def test_token_file_round_trip(spark, docs, rows, empty, tmp_path):
     rng = np.random.default_rng(0)
     for n in (0, 1, 255, 256, 257, 5000):
@@ -400,6 +464,21 @@ def test_quality_edges(docs, spark, empty):
     assert quality.score(empty, one).count() == 0
 
 
+def test_license_table(spark, empty):
+    notice, other = "Licensed under the Apache License, Version 2.0", "Released under the MIT License"
+    texts = [None, "", " \n", "plain words", notice, f"{notice}. {other}.", f"{other} {notice} {other}", "x " * 30_000 + notice + " y" * 30_000, notice.upper()]
+    rows = [(i, t, "MIT", 0.5) for i, t in enumerate(texts)] + [(4, notice, "x", None), (None, other, None, None)]
+    got = licenses.licensed(spark.createDataFrame(rows, "doc_id long, text string, license string, coverage double").repartition(3))
+    assert got.columns == ["doc_id", "license", "coverage", "n_aligned", "licenses"]
+    per = defaultdict(list)
+    for r in got.collect():
+        per[r.doc_id].append((r.license, r.coverage, r.n_aligned, r.licenses))
+    assert per[0] == per[1] == per[2] == per[3] == [(None, 0.0, 0, "")]
+    assert per[4] == [("Apache-2.0", 1.0, 8, "Apache-2.0")] * 2 and per[7] == per[8] == per[4][:1]
+    assert per[5] == per[6] == [("Apache-2.0", 1.0, 8, "Apache-2.0,MIT-line")] and per[None] == [("MIT-line", 1.0, 5, "MIT-line")]
+    assert licenses.licensed(empty).count() == 0
+
+
 def test_repeated_notices_against_brute_force():
     rng, notice = random.Random(5), licenses.tokens("Permission granted to any person to use this work for any purpose")
     assert licenses.scan("Released under the MIT License. Released under the MIT License.")[0][:3] == (1.0, "MIT-line", 5)
