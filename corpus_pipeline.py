@@ -1,4 +1,11 @@
-"""From raw documents to packed training sequences: five operators, each on all that its predecessor kept."""
+"""From raw documents to packed training sequences: five operators, each on all that its predecessor kept.
+
+All stages but the last return the columns of docs, whatever extra ones there are and however they are named. Null and empty texts have the
+intercept's quality score, no near-duplicates and no private data, count no words, and are packed as one end id. A null doc_id is kept
+and never a near-duplicate. Of repeated rows the near-duplicates stage keeps one. Ties: a score at the threshold is accepted; of a group of
+near-duplicates the least doc_id stays. Texts are read whole at any length. An empty table gives an empty result at every stage. Each
+stage's table is written into the shared folder, so what a lost executor held is read or computed again.
+"""
 
 from __future__ import annotations
 
