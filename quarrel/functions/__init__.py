@@ -36,7 +36,7 @@ def stem(path: Column) -> Column:
 
 
 def is_test(path: Column) -> Column:
-    return base(path).rlike(r"\.(test|spec)\.") | path.contains("__tests__")
+    return base(path).rlike(r"(^|\.)(test|spec)(\.|$)") | path.contains("__tests__")
 
 
 def is_entry(path: Column) -> Column:
@@ -64,12 +64,12 @@ def source_kind(spec: Column) -> Column:
 
 
 def axis_ceiling(top: Column) -> Column:
-    """The least of 1, 2, 3, 5, 6 and 10 times the power of ten below a positive number that reaches it."""
-    mag = F.pow(F.lit(10.0), F.floor(F.log10(top.cast("double"))))
-    steps = F.when(top <= mag, 1)
-    for k in (2, 3, 5, 6):
-        steps = steps.when(top <= k * mag, k)
-    return (steps.otherwise(10) * mag).cast("long")
+    """The least of 1, 2, 3, 5, 6 and 10 times the power of ten below a whole number that reaches it; 3 at least."""
+    mag = F.pow(F.lit(10.0), F.length(top.cast("string")) - 1)
+    steps = F.when(top <= 3, 3.0)
+    for k in (1, 2, 3, 5, 6):
+        steps = steps.when(top <= k * mag, k * mag)
+    return steps.otherwise(10 * mag).cast("long")
 
 
 def compatible(a: Column, b: Column) -> Column:
@@ -89,7 +89,7 @@ def strip_comments(text: Column, opened: str, closed: str) -> Column:
 
 def band(score: Column) -> Column:
     """ok, watch or poor."""
-    return F.when(score >= 75, "ok").when(score >= 45, "watch").otherwise("poor")
+    return F.when(score >= 75, "ok").when(score >= 60, "watch").otherwise("poor")
 
 
 def joined_snippets(rows: DataFrame, key: str, order: list[str]) -> DataFrame:

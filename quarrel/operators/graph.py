@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarrel.plans import written
+from quarrel.plans import scratch, written
+
+SMALL = 200_000  # distinct edges, counted first, that one task may hold
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -38,9 +43,10 @@ def coupling(edges: DataFrame, abstractness: DataFrame) -> DataFrame:
 
 
 def zones(metrics: DataFrame) -> DataFrame:
-    """Pain (stable and concrete), uselessness (unstable and abstract) or the main sequence."""
-    i, a = F.col("instability"), F.col("abstractness")
-    return metrics.select("node", F.when((i < 0.3) & (a < 0.3), "pain").when((i > 0.7) & (a > 0.7), "uselessness").when(F.col("distance") <= 0.3, "main_sequence").otherwise("none").alias("zone"))
+    """pain (stable, concrete, far off the main sequence, with two dependents at least), uselessness (unstable, abstract, far off), main_sequence or none."""
+    i, a, far = F.col("instability"), F.col("abstractness"), F.col("distance") >= 0.5
+    zone = F.when(far & (F.col("ca") >= 2) & (i <= 0.3) & (a <= 0.3), "pain").when(far & (i >= 0.7) & (a >= 0.7), "uselessness")
+    return metrics.select("node", zone.when(F.col("distance") <= 0.2, "main_sequence").otherwise("none").alias("zone"))
 
 
 def node_flags(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -51,14 +57,17 @@ def node_flags(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def reachable(edges: DataFrame, starts: DataFrame) -> DataFrame:
-    """node for all that starts(node) lead to, themselves included: frontier joins with an anti-join on what is known."""
-    seen = written(starts.select("node").distinct(), "seen")
-    front = seen
-    while front.take(1):
+    """node for all that starts(node) lead to, themselves included: frontier joins with an anti-join on what is known. A round adds its front
+    to the table of known nodes and rewrites nothing."""
+    spark, path = edges.sparkSession, scratch(edges.sparkSession, "seen")
+    front = written(starts.select("node").distinct(), "front")
+    while True:
+        front.write.mode("append").parquet(path)
+        seen = spark.read.schema(front.schema).parquet(path)
+        if not front.take(1):
+            return seen
         step = front.join(edges, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct()
         front = written(step.join(seen, "node", "left_anti"), "front")
-        seen = written(seen.union(front), "seen")
-    return seen
 
 
 def closure(edges: DataFrame) -> DataFrame:
@@ -80,11 +89,84 @@ def neighbours(edges: DataFrame) -> DataFrame:
     return out.join(into, "node", "full_outer").select("node", F.coalesce("successors", F.lit("")).alias("successors"), F.coalesce("predecessors", F.lit("")).alias("predecessors"))
 
 
-def strong(edges: DataFrame) -> DataFrame:
-    """(node, scc) of the nodes on a cycle of two nodes or more; scc is its least node."""
-    p = closure(edges.where("src <> dst"))
-    mutual = p.join(p.select(F.col("dst").alias("src"), F.col("src").alias("dst")), ["src", "dst"])
-    return mutual.groupBy(F.col("src").alias("node")).agg(F.min("dst").alias("scc"))
+def _scc_in_a_task(edges: DataFrame) -> DataFrame:
+    """(node, scc) of all nodes of at most SMALL edges, in one task: two depth-first searches, the second against the edges."""
+    kind = edges.schema["src"].dataType.simpleString()
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        out: dict = {}
+        into: dict = {}
+        for part in parts:
+            for a, b in zip(part["src"], part["dst"], strict=True):
+                out.setdefault(a, []).append(b)
+                out.setdefault(b, [])
+                into.setdefault(b, []).append(a)
+        order, met = [], set()
+        for root in sorted(out):
+            todo = [] if root in met else [(root, iter(out[root]))]
+            met.add(root)
+            while todo:
+                node, rest = todo[-1]
+                for n in rest:
+                    if n not in met:
+                        met.add(n)
+                        todo.append((n, iter(out[n])))
+                        break
+                else:
+                    order.append(todo.pop()[0])
+        rows, done = [], set()
+        for root in reversed(order):
+            if root in done:
+                continue
+            group, todo = [], [root]
+            done.add(root)
+            while todo:
+                node = todo.pop()
+                group.append(node)
+                fresh = [n for n in into.get(node, ()) if n not in done]
+                done.update(fresh)
+                todo += fresh
+            rows += [(n, min(group)) for n in group]
+        yield pd.DataFrame(rows, columns=["node", "scc"])
+
+    return edges.coalesce(1).mapInPandas(run, f"node {kind}, scc {kind}")
+
+
+def _scc_by_rounds(e: DataFrame) -> DataFrame:
+    """The same in rounds over tables of nodes and edges: nodes without edges in or out are trimmed, each node takes the least node that leads to
+    it, and the nodes that lead back to that one inside its class are its component."""
+    found = None
+    while True:
+        n = -1
+        while (m := e.count()) != n:
+            n = m
+            keep = written(e.select(F.col("src").alias("node")).intersect(e.select("dst")), "kept")
+            e = written(e.join(keep.withColumnRenamed("node", "src"), "src", "left_semi").join(keep.withColumnRenamed("node", "dst"), "dst", "left_semi").select("src", "dst"), "edges")
+        if not n:
+            return found
+        label = written(e.select(F.col("src").alias("node")).distinct().select("node", F.col("node").alias("scc")), "least")
+        moved = True
+        while moved:
+            step = label.join(e, F.col("node") == F.col("src")).groupBy(F.col("dst").alias("to")).agg(F.min("scc").alias("got"))
+            after = written(label.join(step, F.col("node") == F.col("to"), "left").select("node", F.least("scc", "got").alias("scc"), (F.col("got") < F.col("scc")).alias("moved")), "least")
+            moved = bool(after.where("moved").take(1))
+            label = after.select("node", "scc")
+        of = lambda side: label.select(F.col("node").alias(side), F.col("scc").alias(f"s_{side}"))  # noqa: E731, B023
+        inside = written(e.join(of("src"), "src").join(of("dst"), "dst").where("s_src = s_dst").select(F.col("dst").alias("src"), F.col("src").alias("dst")), "inside")
+        group = written(reachable(inside, label.where("node = scc").select("node")).join(label, "node"), "groups")
+        found = group if found is None else found.union(group)
+        e = written(e.join(group.select(F.col("node").alias("src")), "src", "left_anti").join(group.select(F.col("node").alias("dst")), "dst", "left_anti").select("src", "dst"), "edges")
+
+
+def strong(edges: DataFrame, small: int = SMALL) -> DataFrame:
+    """(node, scc) of the nodes on a cycle of two nodes or more; scc is its least node. Up to `small` distinct edges, counted first, are
+    searched in one task; beyond that by rounds, each of which writes tables no larger than the edges."""
+    e = written(edges.where("src <> dst").select("src", "dst").distinct(), "edges")
+    found = _scc_in_a_task(e) if e.count() <= small else _scc_by_rounds(e)
+    if found is None:
+        return e.select(F.col("src").alias("node"), F.col("dst").alias("scc"))
+    several = found.groupBy("scc").agg(F.count(F.lit(1)).alias("of")).where("of > 1").select("scc")
+    return found.join(several, "scc").select("node", "scc")
 
 
 def _labelled(edges: DataFrame) -> DataFrame:
@@ -142,13 +224,31 @@ def kcore(edges: DataFrame, k: int = 2) -> DataFrame:
     return e.select(F.col("a").alias("node")).distinct()
 
 
-def chain_depths(edges: DataFrame) -> DataFrame:
-    """(node, depth): the longest chain of an acyclic edges(src, dst) that ends at each node, by relaxation."""
-    nodes = edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct()
-    depth = written(nodes.withColumn("depth", F.lit(0).cast("long")), "depth")
-    while True:
-        step = depth.join(edges, F.col("node") == F.col("src")).groupBy("dst").agg((F.max("depth") + 1).alias("d"))
-        after = written(depth.join(step, F.col("node") == F.col("dst"), "left").select("node", F.greatest("depth", F.coalesce("d", F.lit(0))).alias("depth"), (F.coalesce("d", F.lit(0)) > F.col("depth")).alias("moved")), "depth")
+def chains(edges: DataFrame) -> DataFrame:
+    """scc, size, weight, before for every strongly connected component of edges(src, dst), single nodes included: its nodes, the nodes of
+    the heaviest chain of components that ends with it, and the component before it there (the least of equals, null at the start)."""
+    marked = written(_labelled(edges.select("src", "dst").distinct()), "labelled")
+    nodes = marked.select(F.col("src").alias("node"), F.col("scc_src").alias("scc")).union(marked.select("dst", "scc_dst")).distinct()
+    size = written(nodes.groupBy("scc").agg(F.count(F.lit(1)).alias("size")), "sizes")
+    links = written(marked.where("scc_src <> scc_dst").select("scc_src", "scc_dst").distinct(), "links")
+    at = written(size.select("scc", "size", F.col("size").alias("weight")), "chains")
+    while True:  # components have no cycles, so this ends after as many rounds as the longest chain has links
+        step = at.select(F.col("scc").alias("scc_src"), "weight").join(links, "scc_src").groupBy(F.col("scc_dst").alias("to")).agg(F.max("weight").alias("got"))
+        new = F.greatest(F.col("weight"), F.col("size") + F.coalesce("got", F.lit(0)))
+        after = written(at.join(step, F.col("scc") == F.col("to"), "left").select("scc", "size", new.alias("weight"), (new > F.col("weight")).alias("moved")), "chains")
+        at = after.select("scc", "size", "weight")
         if not after.where("moved").take(1):
-            return after.select("node", "depth")
-        depth = after.select("node", "depth")
+            break
+    ends = at.select(F.col("scc").alias("scc_dst"), (F.col("weight") - F.col("size")).alias("rest"))
+    met = links.join(at.select(F.col("scc").alias("scc_src"), "weight"), "scc_src").join(ends, "scc_dst").where("weight = rest")
+    before = met.groupBy(F.col("scc_dst").alias("to")).agg(F.min("scc_src").alias("before"))
+    return at.join(before, F.col("scc") == F.col("to"), "left").select("scc", "size", "weight", "before")
+
+
+def longest_chain(edges: DataFrame) -> DataFrame:
+    """place, scc, size of the heaviest chain of components, from its start; of equal ends the least."""
+    c = written(chains(edges), "chains")
+    top = c.orderBy(F.col("weight").desc(), "scc").limit(1).select(F.col("scc").alias("node"))
+    on = reachable(c.where("before is not null").select(F.col("scc").alias("src"), F.col("before").alias("dst")), top)
+    met = c.join(on.withColumnRenamed("node", "scc"), "scc")
+    return met.select(F.row_number().over(Window.orderBy("weight")).cast("long").alias("place"), "scc", "size")  # as many rows as the chain has

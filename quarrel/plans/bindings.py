@@ -214,8 +214,8 @@ def coupling_metrics(spark, sf_dir):
     return coupled(spark, sf_dir)
 
 
-@query(f"""WITH {COUPLING} SELECT node, CASE WHEN instability < 0.3 AND abstractness < 0.3 THEN 'pain' WHEN instability > 0.7 AND abstractness > 0.7 THEN 'uselessness'
-  WHEN distance <= 0.3 THEN 'main_sequence' ELSE 'none' END AS zone FROM metrics""")
+@query(f"""WITH {COUPLING} SELECT node, CASE WHEN distance >= 0.5 AND ca >= 2 AND instability <= 0.3 AND abstractness <= 0.3 THEN 'pain'
+  WHEN distance >= 0.5 AND instability >= 0.7 AND abstractness >= 0.7 THEN 'uselessness' WHEN distance <= 0.2 THEN 'main_sequence' ELSE 'none' END AS zone FROM metrics""")
 def stability_zones(spark, sf_dir):
     return graph.zones(coupled(spark, sf_dir))
 
@@ -269,11 +269,25 @@ def group_kcore(spark, sf_dir):
     return graph.kcore(edges(spark, sf_dir).select(F.col("src").alias("a"), F.col("dst").alias("b")), 2)
 
 
-@query(f"""WITH RECURSIVE {EDGES}, up AS (SELECT src, dst FROM edges WHERE src < dst), r AS (SELECT n_nationkey::BIGINT AS node, 0::BIGINT AS depth FROM nation WHERE n_nationkey IN (SELECT src FROM up UNION SELECT dst FROM up)
-  UNION SELECT up.dst, r.depth + 1 FROM r JOIN up ON r.node = up.src) SELECT node, max(depth)::BIGINT AS depth FROM r GROUP BY node""")
-def longest_chain_depth(spark, sf_dir):
-    """Chains of the links that lead to a greater key, which have no cycles."""
-    return graph.chain_depths(graph.written(edges(spark, sf_dir).where("src < dst"), "edges"))
+CHAINS = f"""{CLOSURE}, l AS (SELECT a.src AS node, min(a.dst) AS scc FROM p a JOIN p b ON a.src = b.dst AND a.dst = b.src GROUP BY a.src),
+n AS (SELECT DISTINCT node, coalesce(l.scc, x.node) AS scc FROM (SELECT src AS node FROM edges UNION SELECT dst FROM edges) x LEFT JOIN l USING (node)), z AS (SELECT scc, count(*) AS size FROM n GROUP BY scc),
+k AS (SELECT DISTINCT a.scc AS s, b.scc AS d FROM edges JOIN n a ON a.node = src JOIN n b ON b.node = dst WHERE a.scc <> b.scc),
+r AS (SELECT scc, size::BIGINT AS w FROM z UNION SELECT d, w + size FROM r JOIN k ON r.scc = s JOIN z ON z.scc = d),
+m AS (SELECT scc, any_value(size) AS size, max(w) AS weight FROM r JOIN z USING (scc) GROUP BY scc)"""
+
+
+@query(f"WITH RECURSIVE {CHAINS} SELECT scc, size, weight, (SELECT min(s) FROM k JOIN m b ON b.scc = s WHERE d = m.scc AND b.weight = m.weight - m.size) AS before FROM m")
+def chain_weights(spark, sf_dir):
+    """The heaviest chain of components that ends with each, and what stands before it."""
+    return graph.chains(edges(spark, sf_dir))
+
+
+@query(f"""WITH RECURSIVE {CHAINS}, c AS (SELECT scc, size, weight, (SELECT min(s) FROM k JOIN m b ON b.scc = s WHERE d = m.scc AND b.weight = m.weight - m.size) AS before FROM m),
+t AS (SELECT * FROM (SELECT * FROM c ORDER BY weight DESC, scc LIMIT 1) y UNION SELECT c.* FROM t JOIN c ON c.scc = t.before)
+SELECT row_number() OVER (ORDER BY weight) AS place, scc, size FROM t""")
+def longest_chain(spark, sf_dir):
+    """The heaviest chain of components, whatever cycles there are."""
+    return graph.longest_chain(edges(spark, sf_dir))
 
 
 # ---- unused elements and paths ----

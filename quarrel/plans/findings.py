@@ -19,8 +19,8 @@ def histogram_median(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.histogram_median(functions(spark, sf_dir).groupBy(F.col("complexity").alias("v")).agg(F.count(F.lit(1)).alias("n")))
 
 
-@query(f"""WITH {PLACED}, m AS (SELECT nation, max(complexity)::BIGINT AS top FROM placed GROUP BY nation), p AS (SELECT *, pow(10, floor(log10(top))) AS mag FROM m)
-SELECT nation, top, (CASE WHEN top <= mag THEN 1 WHEN top <= 2 * mag THEN 2 WHEN top <= 3 * mag THEN 3 WHEN top <= 5 * mag THEN 5 WHEN top <= 6 * mag THEN 6 ELSE 10 END * mag)::BIGINT AS ceiling FROM p""")
+@query(f"""WITH {PLACED}, m AS (SELECT nation, max(complexity)::BIGINT AS top FROM placed GROUP BY nation), p AS (SELECT *, pow(10, length(top::VARCHAR) - 1) AS mag FROM m)
+SELECT nation, top, (CASE WHEN top <= 3 THEN 3 ELSE mag * CASE WHEN top <= mag THEN 1 WHEN top <= 2 * mag THEN 2 WHEN top <= 3 * mag THEN 3 WHEN top <= 5 * mag THEN 5 WHEN top <= 6 * mag THEN 6 ELSE 10 END END)::BIGINT AS ceiling FROM p""")
 def axis_ceiling(spark, sf_dir):
     """The round figure at or over the greatest complexity of each nation."""
     top = placed(spark, sf_dir).groupBy("nation").agg(F.max("complexity").cast("long").alias("top"))
@@ -163,7 +163,7 @@ def validity_checks(spark, sf_dir):
 
 
 @query(f"""WITH {PLACED}, n AS (SELECT nation, 100 - round(100 * least(1, (count(*) FILTER (WHERE complexity > 9) * 1.0 / count(*)) / 0.3))::BIGINT AS score FROM placed GROUP BY nation)
-SELECT nation, score::BIGINT AS score, CASE WHEN score >= 75 THEN 'ok' WHEN score >= 45 THEN 'watch' ELSE 'poor' END AS band FROM n""")
+SELECT nation, score::BIGINT AS score, CASE WHEN score >= 75 THEN 'ok' WHEN score >= 60 THEN 'watch' ELSE 'poor' END AS band FROM n""")
 def score_bands(spark, sf_dir):
     """Score of each nation by its share of complex functions, full at none and 0 at three tenths, and its band."""
     share = F.count(F.when(F.col("complexity") > 9, 1)) * 1.0 / F.count(F.lit(1))

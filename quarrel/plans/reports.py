@@ -94,7 +94,7 @@ def extreme_functions(spark, sf_dir):
 
 
 @query(rf"""WITH {PATHS}, b AS (SELECT page_id, path, regexp_extract(path, '([^/]*)$', 1) AS base FROM paths), s AS (SELECT *, regexp_extract(base, '^(.*?)(?:\.[^.]*)?$', 1) AS stem FROM b)
-SELECT page_id, stem, regexp_matches(base, '\.(test|spec)\.') OR contains(path, '__tests__') AS is_test, stem IN ('index', 'main', 'app', 'server') AS is_entry, regexp_matches(base, '(^|\.)(config|setup)(\.|$)') AS is_config FROM s""")
+SELECT page_id, stem, regexp_matches(base, '(^|\.)(test|spec)(\.|$)') OR contains(path, '__tests__') AS is_test, stem IN ('index', 'main', 'app', 'server') AS is_entry, regexp_matches(base, '(^|\.)(config|setup)(\.|$)') AS is_config FROM s""")
 def path_flags(spark, sf_dir):
     path = fn.url_path(F.col("url"))
     return table(spark, sf_dir, "pages").select("page_id", fn.stem(path).alias("stem"), fn.is_test(path).alias("is_test"), fn.is_entry(path).alias("is_entry"), fn.is_config(path).alias("is_config"))

@@ -56,5 +56,7 @@ def test_membership_counts_copies_within_and_across_keys(spark):
 def test_columns(spark):
     df = spark.createDataFrame([(1, [], ["a"]), (7, ["a", "b"], ["c", "d"]), (40, ["a"], ["b"]), (100, ["a", "b"], ["b", "c"])], "top long, x array<string>, y array<string>")
     got = df.select(fn.axis_ceiling(F.col("top")), fn.compatible(F.col("x"), F.col("y")), fn.disjoint(F.col("x"), F.col("y"))).collect()
-    assert [tuple(r) for r in got] == [(1, True, False), (10, False, True), (50, False, False), (100, True, False)]
+    assert [tuple(r) for r in got] == [(3, True, False), (10, False, True), (50, False, False), (100, True, False)]
+    assert [r[0] for r in spark.createDataFrame([(n,) for n in (0, 2, 3, 4, 10, 11, 60, 61, 1000, 1001)], "n long").select(fn.axis_ceiling(F.col("n"))).collect()] == [3, 3, 3, 5, 10, 20, 60, 100, 1000, 2000]
+    assert [r[0] for r in spark.createDataFrame([(p,) for p in ("a/test.js", "a/x.spec", "a/x.test.ts", "a/testing.js", "a/__tests__/b.js")], "p string").select(fn.is_test(F.col("p"))).collect()] == [True, True, True, False, True]
     assert spark.range(1).select(fn.strip_comments(F.lit("a<!--\n-->b<!--c"), "<!--", "-->")).first()[0] == "ab<!--c"

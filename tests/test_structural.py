@@ -52,6 +52,29 @@ def test_chain_cycle_and_core(spark):
     assert sorted(r.node for r in core.collect()) == [100, 101, 102]
 
 
+def test_cycles_in_a_task_and_by_rounds(spark):
+    rng = random.Random(4)
+    for n, m in ((12, 14), (30, 45), (60, 70)):
+        pairs = {(rng.randrange(n), rng.randrange(n)) for _ in range(m)}
+        reach = {a: {a} for a in range(n)}
+        for _ in range(n):
+            for a, b in pairs:
+                for x in reach:
+                    if a in reach[x]:
+                        reach[x].add(b)
+        groups = {a: sorted(b for b in range(n) if b in reach[a] and a in reach[b]) for a in range(n)}
+        want = sorted((a, g[0]) for a, g in groups.items() if len(g) > 1)
+        e = spark.createDataFrame(sorted(pairs), "src long, dst long")
+        for small in (0, 1000):
+            assert sorted(tuple(r) for r in graph.strong(e, small).select("node", "scc").collect()) == want
+
+
+def test_chains_end_on_cycles(spark):
+    e = spark.createDataFrame([(1, 2), (2, 3), (3, 2), (3, 4), (1, 4), (5, 4), (4, 6)], "src long, dst long")
+    assert sorted(tuple(r) for r in graph.chains(e).collect()) == [(1, 1, 1, None), (2, 2, 3, 1), (4, 1, 4, 2), (5, 1, 1, None), (6, 1, 5, 4)]
+    assert [tuple(r) for r in graph.longest_chain(e).orderBy("place").collect()] == [(1, 1, 1), (2, 2, 2), (3, 4, 1), (4, 6, 1)]
+
+
 def test_islands_restart_on_a_new_reason(spark):
     r = spark.createDataFrame([(1, 1, 100, "x", 1), (1, 2, 3, "y", 1), (1, 50, 60, "y", 2), (1, 61, 70, "y", 1)], "k int, s long, e long, reason string, level int")
     assert sorted((x.s, x.e, x.reason, x.level) for x in intervals.islands(r, "k").collect()) == [(1, 100, "x", 1), (2, 3, "y", 1), (50, 70, "y", 2)]
