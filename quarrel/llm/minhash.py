@@ -36,7 +36,7 @@ from quarrel.llm.common import Union, components, discard, gram_hashes, lower_wo
 SHINGLE = 5
 PERCENT = 85
 ROWS, LEFT, RIGHT = 3, 10, 10
-BLOCK_DOCS = 256
+BLOCK_DOCS = 128
 BLOCK_SHINGLES = 1 << 19
 HUBS = 4
 
@@ -185,7 +185,8 @@ def _sets(docs: DataFrame, members: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(b.column(k).take(take) for k in range(3)), pa.array(found, pa.binary())], names=["node", "cluster", "n", "s"])
 
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    met = members.join(text, F.col("id") == F.col("doc_id")).select("node", "cluster", "n", "s1", "text")
+    # A merge join at every size: by shuffles that can be split, and without a jump where one side no longer fits a broadcast.
+    met = members.hint("merge").join(text, F.col("id") == F.col("doc_id")).select("node", "cluster", "n", "s1", "text")
     return met.mapInArrow(run, "node long, cluster long, n long, s binary").dropDuplicates(["node"])
 
 
