@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarrel.operators.graph import components
+from quarrel.operators.graph import components, written
 
 # Upper bounds of low and medium risk.
 COMPLEXITY_RISK = (9, 19)
@@ -21,6 +21,31 @@ def _count_if(cond: Column) -> Column:
     return F.count(F.when(cond, 1))
 
 
+def in_range(value: Column, least: float, most: float = 0) -> Column:
+    """At least `least`, and at most `most` unless that is 0."""
+    return (value >= least) & (value <= most) if most > 0 else value >= least
+
+
+def enabled(value: Column, kinds: list) -> Column:
+    """Membership; no list enables all."""
+    return value.isin(kinds) if kinds else F.lit(True)
+
+
+def top(rows: DataFrame, order: list[Column], n: int) -> DataFrame:
+    """The first n of rows with their rank; order is total. A distributed top-k; the window sees n rows."""
+    return rows.orderBy(*order).limit(n).withColumn("rank", F.row_number().over(Window.orderBy(*order)))
+
+
+def numbered(rows: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """rows with dense numbers from 0 in a total order: places inside range partitions and the sizes of those before, so no task sorts all."""
+    part = F.spark_partition_id()
+    placed = written(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("part", part), "placed")
+    sizes = placed.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
+    before = sizes.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))  # one row a partition
+    own = F.row_number().over(Window.partitionBy("part").orderBy(*order)) - 1
+    return placed.withColumn("own", own).join(before, "part").select(*rows.columns, (F.col("before") + F.col("own")).cast("long").alias(name))
+
+
 def _stats(cc: Column) -> list[Column]:
     return [F.count(cc).alias("functions"), F.coalesce(F.round(F.avg(cc), 6), F.lit(0.0)).alias("avg_cc"), F.coalesce(F.max(cc), F.lit(0)).cast("long").alias("max_cc"), _count_if(cc > COMPLEXITY_RISK[1]).alias("high_risk")]
 

@@ -42,6 +42,23 @@ def ladder(same: Column, sim: Column, steps: tuple[float, ...] = (0.85, 0.75, 0.
     return kind.otherwise(0), capped
 
 
+def near_size(nodes_a: Column, nodes_b: Column, lines_a: Column, lines_b: Column) -> Column:
+    """False where sizes alone rule a copy out: nodes differ by over half of their mean, or lines by over half of both."""
+    mean, lines = (nodes_a + nodes_b) / 2, F.abs(lines_a - lines_b)
+    return ~((mean > 0) & (F.abs(nodes_a - nodes_b) > 0.5 * mean)) & ~((lines > lines_a * 0.5) & (lines > lines_b * 0.5))
+
+
+def overlap(x: Column, y: Column) -> Column:
+    """Two structs of file, s and e have a line in common."""
+    return (x["file"] == y["file"]) & ~((x["e"] < y["s"]) | (y["e"] < x["s"]))
+
+
+def confidence(sim: Column, nodes_a: Column, nodes_b: Column, complexity_a: Column, complexity_b: Column) -> Column:
+    """Similarity, up to 0.2 more for large fragments and up to 0.1 for equal complexity; 1 at most."""
+    ratio = F.when((complexity_a > 0) & (complexity_b > 0), F.least(complexity_a, complexity_b) / F.greatest(complexity_a, complexity_b)).otherwise(0.0)
+    return F.least(F.lit(1.0), sim + F.least((nodes_a + nodes_b) / 200, F.lit(0.2)) + 0.1 * ratio)
+
+
 def count_likeness(a: Column, b: Column) -> Column:
     """1 for equal counts, less the share of the greater by which they differ."""
     top = F.greatest(F.abs(a), F.abs(b))
