@@ -100,3 +100,115 @@ def joined_snippets(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
     again = F.coalesce(before == F.element_at(lines, 1), F.lit(False))
     marked = rows.withColumn("again", again)
     return marked.withColumn("kept", F.when(F.col("again"), F.regexp_replace("text", r"(?s)^[^\n]*\n?", "")).otherwise(F.col("text")))
+
+
+# Files and exports that a framework calls by their names.
+CONVENTIONS = ("page", "layout", "template", "loading", "error", "not-found", "default", "route")
+FRAMEWORK_NAMES = ("default", "generateMetadata", "metadata", "generateViewport", "viewport", "generateStaticParams", "dynamic", "dynamicParams", "revalidate", "fetchCache", "runtime", "preferredRegion", "maxDuration")
+VERBS = ("GET", "POST", "PUT", "PATCH", "DELETE", "HEAD", "OPTIONS")
+
+
+def is_convention(path: Column) -> Column:
+    return path.contains("/app/") & stem(path).isin(*CONVENTIONS)
+
+
+def is_route(path: Column) -> Column:
+    return path.contains("/app/") & (stem(path) == "route")
+
+
+def is_reserved(path: Column, name: Column) -> Column:
+    """An export that a framework takes out of a file by its name."""
+    return is_convention(path) & (name.isin(*FRAMEWORK_NAMES) | (is_route(path) & name.isin(*VERBS)))
+
+
+def declares_callable(kind: Column) -> Column:
+    """A declaration of a function or a class, by the name of its syntax node."""
+    return kind.contains("Function") | kind.contains("Class")
+
+
+def glob_regex(glob: str) -> str:
+    """A regular expression for a glob of one name: * and ? stop at slashes."""
+    return "^" + "".join("[^/]*" if c == "*" else "[^/]" if c == "?" else "\\" + c if not c.isalnum() and c not in "_ " else c for c in glob) + "$"
+
+
+def matches_names(name: Column, patterns: list[str]) -> Column:
+    """Any pattern: as a glob where it has a wildcard, else equal in any case."""
+    out = F.lit(False)
+    for p in patterns:
+        out = out | (name.rlike(glob_regex(p)) if any(c in p for c in "*?") else F.lower(name) == p.lower())
+    return out
+
+
+def in_folders(path: Column, names: list[str]) -> Column:
+    """One of the folders above the file has one of the names."""
+    parts = F.split(path, "/")
+    return F.exists(F.slice(parts, F.lit(1), F.greatest(F.size(parts) - 1, F.lit(0))), lambda d: d.isin(names))
+
+
+def is_external(kind: Column) -> Column:
+    return kind.isin("package", "builtin", "url")
+
+
+def package_of(spec: Column) -> Column:
+    """The package that an import names: ./ and ../ at its start are dropped, a scope keeps two segments, others one."""
+    bare = F.regexp_replace(F.regexp_replace(spec, r"^(\./)+", ""), r"^(\.\./)+", "")
+    return F.when(bare.startswith("@"), F.regexp_extract(bare, "^([^/]*/?[^/]*)", 1)).otherwise(F.regexp_replace(bare, "(?s)^([^/]+)/.*$", "$1"))
+
+
+def abstractness(exports: Column) -> Column:
+    """Grows with the number of exports up to 1 at ten."""
+    return F.least(exports / 10, F.lit(1.0))
+
+
+def is_exported(name: Column) -> Column:
+    """The first character is an upper-case letter."""
+    first = F.substring(name, 1, 1)
+    return (first != F.lower(first)) & (first == F.upper(first))
+
+
+def unquoted(literal: Column) -> Column:
+    """The text of a quoted literal; null for other text and for a template with a placeholder."""
+    inner = F.substring(literal, F.lit(2), F.length(literal) - 2)
+    first = F.substring(literal, 1, 1)
+    whole = (F.length(literal) >= 2) & (first == F.substring(literal, -1, 1)) & first.isin("'", '"', "`")
+    return F.when(whole & ~((first == "`") & inner.contains("${")), inner)
+
+
+def relative_to(path: Column, root: str) -> Column:
+    """path without root where it lies below it, with forward slashes."""
+    flat = F.replace(path, F.lit("\\"), F.lit("/"))
+    lead = root.rstrip("/") + "/"
+    return F.when(flat.startswith(lead), F.substring(flat, F.lit(len(lead) + 1), F.length(flat))).otherwise(flat)
+
+
+def last_part(name: Column, separator: str) -> Column:
+    return F.element_at(F.split(name, "\\Q" + separator + "\\E"), -1)
+
+
+def type_only_lines(text: Column) -> Column:
+    """Numbers, from 1, of the lines that begin a type-only import."""
+    lines = F.transform(F.split(text, "\n"), lambda x, i: F.when(F.trim(x).startswith("import type "), i + 1))
+    return F.filter(lines, lambda x: x.isNotNull())
+
+
+def label_base(label: Column) -> Column:
+    """A node's label without the detail in brackets behind it."""
+    return F.regexp_replace(label, r"(?s)\(.*\)$", "")
+
+
+def counted(n: Column, one: str, many: str) -> Column:
+    return F.concat(n.cast("string"), F.lit(" "), F.when(n == 1, one).otherwise(many))
+
+
+def reason_text(reason: Column) -> Column:
+    """A reason of dead code as a sentence."""
+    texts = {"unreachable": "Code that no path reaches", "after_return": "Code after a return", "after_throw": "Code after a throw", "after_break": "Code after a break", "after_continue": "Code after a continue"}
+    out = F.when(F.lit(False), "")
+    for k, v in texts.items():
+        out = out.when(reason == k, v)
+    return out.otherwise("Code that never runs")
+
+
+def at_least_severity(severity: Column, least: str) -> Column:
+    level = lambda c: F.when(c == "info", 1).when(c == "warning", 2).when(c == "critical", 3).otherwise(0)
+    return level(severity) >= level(F.lit(least))

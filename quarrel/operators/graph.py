@@ -252,3 +252,56 @@ def longest_chain(edges: DataFrame) -> DataFrame:
     on = reachable(c.where("before is not null").select(F.col("scc").alias("src"), F.col("before").alias("dst")), top)
     met = c.join(on.withColumnRenamed("node", "scc"), "scc")
     return met.select(F.row_number().over(Window.orderBy("weight")).cast("long").alias("place"), "scc", "size")  # as many rows as the chain has
+
+
+def entry_chains(edges: DataFrame, n: int = 5) -> DataFrame:
+    """node, weight: the n entries (nothing leads in) from which the heaviest chains of components start."""
+    flipped = written(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")), "flipped")
+    starts = edges.select(F.col("src").alias("node")).distinct().join(edges.where("src <> dst").select(F.col("dst").alias("node")), "node", "left_anti")
+    return starts.join(chains(flipped), F.col("node") == F.col("scc")).orderBy(F.col("weight").desc(), "node").limit(n).select("node", "weight")
+
+
+def top_chains(edges: DataFrame, n: int = 3) -> DataFrame:
+    """rank, scc, weight: the ends of the n heaviest chains of components that no other chain goes on from."""
+    c = written(chains(edges), "chains")
+    last = c.join(c.where("before is not null").select(F.col("before").alias("scc")), "scc", "left_anti")
+    order = [F.col("weight").desc(), F.col("scc")]
+    return last.orderBy(*order).limit(n).select(F.row_number().over(Window.orderBy(*order)).alias("rank"), "scc", "weight")
+
+
+def route(edges: DataFrame, start, end) -> DataFrame:
+    """place, node of a shortest way from start to end, the least nodes first; empty if there is none. Rounds of frontier joins, then one walk back
+    over nodes that each have one parent."""
+    kind = edges.schema["src"].dataType
+    front = written(edges.sparkSession.range(1).select(F.lit(start).cast(kind).alias("node"), F.lit(None).cast(kind).alias("parent"), F.lit(0).cast("long").alias("place")), "front")
+    seen, place = front, 0
+    while front.take(1) and not front.where(F.col("node") == F.lit(end)).take(1):
+        place += 1
+        step = front.select(F.col("node").alias("src")).join(edges, "src").groupBy(F.col("dst").alias("node")).agg(F.min("src").alias("parent"), F.lit(place).cast("long").alias("place"))
+        front = written(step.join(seen.select("node"), "node", "left_anti").select("node", "parent", "place"), "front")
+        seen = seen.union(front)
+    seen = written(seen, "seen")
+    back = seen.where("parent is not null").select(F.col("node").alias("src"), F.col("parent").alias("dst"))
+    on = reachable(back, seen.where(F.col("node") == F.lit(end)).select("node"))
+    return seen.join(on, "node").select("place", "node")
+
+
+def suggestions(found: DataFrame, lightest: DataFrame) -> DataFrame:
+    """scc, suggestion: which link to turn for each of cycles(), and for those of three nodes or more that interfaces may be taken out."""
+    link = lightest.select("scc", F.format_string("Remove or invert the dependency of '%s' on '%s' to break the cycle", F.col("src").cast("string"), F.col("dst").cast("string")).alias("suggestion"))
+    split = found.where("size >= 3").select("scc", F.concat(F.lit("Extract interfaces for modules: "), F.replace("members", F.lit(","), F.lit(", "))).alias("suggestion"))
+    return link.union(split)
+
+
+def module_graph(imports: DataFrame, known: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """nodes(node, external) and edges(src, dst, kind, weight) of imports(src, target, kind, names) and known(node). Targets that are no known
+    module are external nodes; of several imports between two modules the strongest kind names the edge, and an import weighs its names, one at least."""
+    rank = F.when(F.col("kind") == "dynamic", 0).when(F.col("kind") == "type_only", 1).otherwise(2)
+    per = imports.groupBy("src", F.col("target").alias("dst")).agg(F.min(F.struct(rank.alias("r"), "kind"))["kind"].alias("kind"), F.sum(F.greatest("names", F.lit(1))).cast("long").alias("weight"))
+    missing = per.select(F.col("dst").alias("node")).distinct().join(known, "node", "left_anti")
+    return known.select("node", F.lit(False).alias("external")).union(missing.select("node", F.lit(True))), per
+
+
+def load_time(edges: DataFrame) -> DataFrame:
+    """Edges that count for cycles and depth: those that are not loaded later."""
+    return edges.where("kind <> 'dynamic'")

@@ -39,11 +39,11 @@ def top(rows: DataFrame, order: list[Column], n: int) -> DataFrame:
 def numbered(rows: DataFrame, order: list[Column], name: str) -> DataFrame:
     """rows with dense numbers from 0 in a total order: places inside range partitions and the sizes of those before, so no task sorts all."""
     part = F.spark_partition_id()
-    placed = written(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("part", part), "placed")
-    sizes = placed.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
-    before = sizes.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))  # one row a partition
-    own = F.row_number().over(Window.partitionBy("part").orderBy(*order)) - 1
-    return placed.withColumn("own", own).join(before, "part").select(*rows.columns, (F.col("before") + F.col("own")).cast("long").alias(name))
+    placed = written(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", part), "placed")
+    sizes = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("n"))
+    before = sizes.select("_part", (F.sum("n").over(Window.orderBy("_part")) - F.col("n")).alias("_before"))  # one row a partition
+    own = F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1
+    return placed.withColumn("_own", own).join(before, "_part").select(*rows.columns, (F.col("_before") + F.col("_own")).cast("long").alias(name))
 
 
 def _stats(cc: Column) -> list[Column]:
@@ -182,3 +182,41 @@ def checks(rows: DataFrame, rules: dict[str, Column]) -> DataFrame:
     counts = rows.agg(F.count(F.lit(1)).alias("checked"), *[F.count(F.when(bad, 1)).alias(f"r{i}") for i, bad in enumerate(rules.values())])
     listed = F.array(*[F.struct(F.lit(name).alias("rule"), F.col(f"r{i}").alias("failures")) for i, name in enumerate(rules)])
     return counts.select("checked", F.explode(listed).alias("r")).select("r.rule", "r.failures", "checked")
+
+
+def merged_summaries(parts: DataFrame) -> DataFrame:
+    """One summary out of partial ones(functions, avg_cc, min_cc, max_cc): means weigh by functions, parts without functions bound nothing."""
+    some, n = F.col("functions") > 0, F.sum("functions")
+    return parts.agg(n.alias("functions"), F.when(n > 0, F.round(F.sum(F.col("avg_cc") * F.col("functions")) / n, 6)).otherwise(0.0).alias("avg_cc"), F.coalesce(F.min(F.when(some, F.col("min_cc"))), F.lit(0)).alias("min_cc"), F.coalesce(F.max(F.when(some, F.col("max_cc"))), F.lit(0)).alias("max_cc"))
+
+
+def renumbered(parts: list[DataFrame], key: str, order: list[Column], name: str) -> DataFrame:
+    """The rows of all parts in one total order with new dense ids; part says where a row came from."""
+    both = None
+    for i, p in enumerate(parts):
+        one = p.withColumn("part", F.lit(i)).withColumnRenamed(key, f"old_{key}")
+        both = one if both is None else both.unionByName(one)
+    return numbered(both, order, name)
+
+
+def regressed(worst: Column, high_risk: Column, critical: Column, warning: Column) -> Column:
+    """Did a change make any measured figure worse?"""
+    return (worst > 0) | (high_risk > 0) | (critical > 0) | (warning > 0)
+
+
+def unused(exports: DataFrame, imports: DataFrame, skipped: Column) -> DataFrame:
+    """exports(file, name, ...) that no import(file, name) takes; files that are imported whole (name *) have none, nor have rows that skipped says."""
+    whole = imports.where("name = '*'").select("file").distinct()
+    return exports.where(~skipped).join(whole, "file", "left_anti").join(imports.select("file", "name").distinct(), ["file", "name"], "left_anti")
+
+
+def resolved(refs: DataFrame, known: list[DataFrame]) -> DataFrame:
+    """refs(ref, key_0, key_1, ...) with target and strategy: the first of known[i](key, target) that knows key_i. A key that stands for several
+    targets does not tell; each strategy sees what those before it left."""
+    left, out = refs, None
+    for i, k in enumerate(known):
+        one = k.groupBy("key").agg(F.min("target").alias("target"), F.countDistinct("target").alias("of")).where("of = 1").select(F.col("key").alias(f"key_{i}"), "target")
+        met = left.join(one, f"key_{i}").select("ref", "target", F.lit(i).alias("strategy"))
+        out = met if out is None else out.union(met)
+        left = left.join(one.select(f"key_{i}"), f"key_{i}", "left_anti")
+    return out.union(left.select("ref", F.lit(None).cast(out.schema["target"].dataType), F.lit(None).cast("int")))

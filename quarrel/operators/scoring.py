@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BUDGET = 20  # points a dimension can cost
@@ -41,6 +41,46 @@ def parse_error_penalty(skipped: Column, total: Column) -> Column:
     return F.when((skipped > 0) & (total > 0), F.greatest(F.round(share * 56), F.lit(11))).otherwise(0).cast("long")
 
 
+def dead_code_penalty(critical: Column, warning: Column, info: Column, files: Column) -> Column:
+    """Weighted findings a file, full at three; files are those that the search for dead code read, one at least."""
+    rate = (critical + 0.5 * warning + 0.2 * info) / F.greatest(files, F.lit(1))
+    return linear_penalty(rate, 0, 3)
+
+
+def complexity_penalty(high: Column, medium: Column, total: Column) -> Column:
+    """At least a point if any function is complex."""
+    return ratio_penalty(high + 0.5 * medium, total, 0.3, floor=True)
+
+
+def cohesion_penalty(high: Column, medium: Column, classes: Column) -> Column:
+    return ratio_penalty(high + 0.3 * medium, classes, 0.4)
+
+
+def total_score(penalties: dict[str, Column], budgets: dict[str, int], parse_errors: Column) -> Column:
+    """health() of the dimensions that ran, less the penalty for files that could not be read; 0 at least."""
+    left = health(list(penalties.values()), [budgets[k] for k in penalties]) - F.greatest(parse_errors, F.lit(0))
+    return F.greatest(F.lit(0), left).cast("long")
+
+
+def fallback_score(average: Column, dead: Column, high: Column) -> Column:
+    """A coarse score for when the figures do not fit together."""
+    return (F.lit(100) - F.when(average > 10, 10).otherwise(0) - F.when(dead > 0, 5).otherwise(0) - F.when(high > 0, 5).otherwise(0)).cast("long")
+
+
+def is_healthy(score: Column) -> Column:
+    return score >= 70
+
+
+def dimensions(rows: DataFrame, key: str, scores: dict[str, Column]) -> DataFrame:
+    """key, dimension, score, state (clean from 90, weak below 75) and place among the weak of the key (null elsewhere), a row for each enabled
+    dimension; scores that are null did not run."""
+    listed = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(n).alias("dimension"), c.cast("long").alias("score")) for i, (n, c) in enumerate(scores.items())])).alias("d")
+    each = rows.select(key, listed).select(key, "d.*").where("score is not null")
+    state = F.when(F.col("score") >= 90, "clean").when(F.col("score") < 75, "weak").otherwise("fair")
+    place = F.row_number().over(Window.partitionBy(key, "state").orderBy("score", "i"))  # as many rows as there are dimensions
+    return each.withColumn("state", state).withColumn("place", F.when(F.col("state") == "weak", place)).drop("i")
+
+
 def architecture_penalty(compliance: Column) -> Column:
     return linear_penalty(1 - compliance, 0, 1, 12)
 
