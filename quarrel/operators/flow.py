@@ -38,13 +38,13 @@ def live_blocks(blocks: DataFrame, edges: DataFrame, stmts: DataFrame) -> DataFr
         front = written(step.join(seen, ["fn", "block"], "left_anti"), "front")
 
 
-def dead_code(blocks: DataFrame, edges: DataFrame, stmts: DataFrame) -> DataFrame:
-    """fn, block, reason, severity: blocks out of reach (critical), unless they hold nothing but no-ops; and in reachable blocks the first
+def dead_code(blocks: DataFrame, edges: DataFrame, stmts: DataFrame, empty: bool = True) -> DataFrame:
+    """fn, block, reason, severity: blocks out of reach (critical), unless they hold nothing but no-ops, or nothing at all and empty is off; and in reachable blocks the first
     terminator that something follows (warning after return and throw, info after break and continue)."""
     live = written(live_blocks(blocks, edges, stmts), "live").withColumn("live", F.lit(True))
     per = stmts.groupBy("fn", "block").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("kind") == "noop", 1)).alias("noops"), F.max("pos").alias("last"), F.min(F.when(F.col("kind").isin(*ENDS), F.struct("pos", "kind"))).alias("end"))
     met = blocks.select("fn", "block").distinct().join(live, ["fn", "block"], "left").join(per, ["fn", "block"], "left")
-    idle = F.coalesce((F.col("n") > 0) & (F.col("n") == F.col("noops")), F.lit(False))
+    idle = F.coalesce((F.col("n") > 0) & (F.col("n") == F.col("noops")), F.lit(not empty))
     follows = F.col("end.pos") < F.col("last")
     reason = F.when(F.col("live").isNull() & ~idle, "unreachable").when(F.col("live") & follows, F.concat(F.lit("after_"), F.col("end.kind")))
     severity = F.when(F.col("reason") == "unreachable", "critical").when(F.col("reason").isin("after_return", "after_throw"), "warning").otherwise("info")
