@@ -35,7 +35,7 @@ from quarrel.llm.common import Union, components, discard, runs, shuffle_width,
 from quarrel.llm.vectors import blocked, matrix, usable
 
 THRESHOLD = 0.93
-BLOCK = 4096
+BLOCK = 1024
 ROUNDING = 1e-3  # of the estimates, in single precision
 DENSE = 2  # open pairs a row from which a unit is compared by its vectors
 
