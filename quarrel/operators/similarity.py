@@ -12,14 +12,22 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def grams(text: Column, k: int) -> Column:
-    """The distinct runs of k words of a text (words are parted by white space), in order of first place."""
+def _runs(text: Column, k: int) -> Column:
+    """Structs of each run of k words of a text (words are parted by white space). Shifted copies are zipped: a lambda that held the words
+    would evaluate them for every run."""
     ws = F.filter(F.split(F.lower(text), r"[ \t\r\n]+"), lambda w: w != "")
     n = F.greatest(F.size(ws) - k + 1, F.lit(0))
-    out = F.slice(ws, F.lit(1), n)
-    for j in range(1, k):  # shifted copies are zipped: a lambda that held the words would evaluate them for every run
-        out = F.zip_with(out, F.slice(ws, F.lit(j + 1), n), lambda a, b: F.concat(a, F.lit(" "), b))
-    return F.array_distinct(out)
+    return F.arrays_zip(*[F.slice(ws, F.lit(j + 1), n).alias(f"w{j}") for j in range(k)])
+
+
+def grams(text: Column, k: int) -> Column:
+    """The distinct runs of k words, in order of first place."""
+    return F.array_distinct(F.transform(_runs(text, k), lambda z: F.concat_ws(" ", *[z[f"w{j}"] for j in range(k)])))
+
+
+def gram_hashes(text: Column, k: int) -> Column:
+    """The distinct 64-bit hashes of the runs of k words."""
+    return F.array_distinct(F.transform(_runs(text, k), lambda z: F.xxhash64(*[z[f"w{j}"] for j in range(k)])))
 
 
 def normalised(text: Column) -> Column:
@@ -101,8 +109,8 @@ def exact_groups(items: DataFrame) -> DataFrame:
 
 def containment(items: DataFrame, probes: DataFrame, k: int = 8) -> DataFrame:
     """Shared k-grams of items(id, text) and probes(pid, text), and their share of the probe: an equi-join on gram hashes."""
-    left = items.select("id", F.explode(F.transform(grams(F.col("text"), k), lambda g: F.xxhash64(g))).alias("g"))
-    right = probes.select("pid", F.explode(F.transform(grams(F.col("text"), k), lambda g: F.xxhash64(g))).alias("g"))
+    left = items.select("id", F.explode(gram_hashes(F.col("text"), k)).alias("g"))
+    right = probes.select("pid", F.explode(gram_hashes(F.col("text"), k)).alias("g"))
     size = right.groupBy("pid").agg(F.count("g").alias("of"))
     shared = left.join(right, "g").groupBy("id", "pid").agg(F.count("g").alias("shared"))
     return shared.join(size, "pid").select("id", "pid", "shared", F.round(F.col("shared") / F.col("of"), 6).alias("containment"))
@@ -120,7 +128,7 @@ def copies(items: DataFrame, k: int = 4, percent: int = 65) -> DataFrame:
     least = known.groupBy("digest").agg(F.min("id").alias("a"))
     equal = known.select("id", "digest").distinct().join(least, "digest").where("id <> a").select("a", F.col("id").alias("b"), F.lit(1).cast("long").alias("kind"), F.lit(1.0).alias("similarity"))
     first = known.join(least.select("digest", F.col("a").alias("id")), ["digest", "id"], "left_semi").dropDuplicates(["id", "digest"])
-    runs = first.select("id", F.array_distinct(F.transform(grams(F.col("text"), k), lambda g: F.xxhash64(g))).alias("runs")).where(F.size("runs") > 0)
+    runs = first.select("id", gram_hashes(F.col("text"), k).alias("runs")).where(F.size("runs") > 0)
     each = runs.select("id", F.size("runs").alias("n"), F.explode("runs").alias("g"))
     held = each.groupBy("g").agg(F.count(F.lit(1)).alias("held"))
     rank = F.row_number().over(Window.partitionBy("id").orderBy("held", "g"))

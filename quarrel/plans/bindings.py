@@ -428,7 +428,7 @@ def _grams(name: str, key: str, of: str, k: int) -> str:
 
 @query(f"WITH {_grams('g', 'doc_id', 'documents', 4)} SELECT d.doc_id, count(g) AS grams FROM documents d LEFT JOIN g ON g.doc_id = d.doc_id GROUP BY d.doc_id")
 def kgram_features(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", F.size(similarity.grams(F.col("text"), 4)).cast("long").alias("grams"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.size(similarity.gram_hashes(F.col("text"), 4)).cast("long").alias("grams"))
 
 
 @query(f"""WITH {_grams('x', 'doc_id', 'documents', 8)}, {_grams('y', 'item_id', 'benchmark', 8)}, n AS (SELECT item_id, count(*) AS of FROM y GROUP BY item_id)

@@ -164,7 +164,7 @@ c AS (SELECT a, b, same AND sim >= 0.85 AS one, CASE WHEN same AND sim >= 0.85 T
 SELECT a, b, (CASE WHEN one THEN 1 WHEN sim >= 0.75 THEN 2 WHEN sim >= 0.7 THEN 3 WHEN sim >= 0.65 THEN 4 ELSE 0 END)::BIGINT AS kind, round(sim, 6) AS similarity FROM c""")
 def clone_classify(spark, sf_dir):
     """Each document and the next one: kind of copy and similarity of their runs of four words."""
-    d = table(spark, sf_dir, "documents").where("text is not null").select(F.col("doc_id").alias("a"), similarity.normalised(F.col("text")).alias("x"), similarity.grams(F.col("text"), 4).alias("g"))
+    d = table(spark, sf_dir, "documents").where("text is not null").select(F.col("doc_id").alias("a"), similarity.normalised(F.col("text")).alias("x"), similarity.gram_hashes(F.col("text"), 4).alias("g"))
     pair = d.join(d.select((F.col("a") - 1).alias("a"), F.col("a").alias("b"), F.col("x").alias("y"), F.col("g").alias("h")), "a")
     kind, sim = similarity.ladder((F.col("x") != "") & (F.col("x") == F.col("y")), similarity.jaccard(F.col("g"), F.col("h")))
     return pair.select("a", "b", kind.cast("long").alias("kind"), F.round(sim, 6).alias("similarity"))
