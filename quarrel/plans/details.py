@@ -9,8 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarrel import functions as fn
-from quarrel.operators import graph, metrics, scoring
+from quarrel.operators import graph, metrics, scoring, similarity, sketch
 from quarrel.plans.bindings import CBO, CLOSURE, EDGES, FUNCTIONS, PATHS, PLACED, deps, edges, functions, placed, query, table, weighted_edges
+from quarrel.sources import js
 
 # ---- orders: every one is total ----
 
@@ -345,3 +346,35 @@ SELECT scc, 'Remove or invert the dependency of ''' || src || ''' on ''' || dst
 def cycle_suggestions(spark, sf_dir):
     w = graph.written(weighted_edges(spark, sf_dir), "weighted")
     return graph.suggestions(graph.cycles(w.select("src", "dst")), graph.break_edges(w))
+
+
+# ---- scripts in pages, and sketches ----
+
+
+@query(r"""WITH s AS (SELECT page_id, unnest(regexp_extract_all(html, '<script>(.*?)</script>', 1, 's')) AS code FROM pages), c AS (SELECT page_id, string_agg(code, chr(10)) AS code FROM s GROUP BY page_id)
+SELECT page_id, length(code) - length(replace(code, ';', '')) AS statements, len(regexp_extract_all(code, '[A-Za-z_]+\(')) AS calls, 1::BIGINT AS functions, 0::BIGINT AS errors FROM c""")
+def page_scripts(spark, sf_dir):
+    """Statements, calls, functions (the script itself is one) and errors of the scripts in each page, by the parser of scripts."""
+    found = F.regexp_extract_all("html", F.lit("(?s)<script>(.*?)</script>"), F.lit(1))
+    files = table(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("path"), F.array_join(found, "\n").alias("content")).where("content <> ''")
+    facts = js.facts(files)
+    n = lambda c: F.count(F.when(c, 1))
+    calls = n((F.col("kind") == "ident") & (F.col("name") == "track"))
+    return facts.groupBy(F.col("path").cast("long").alias("page_id")).agg(n(F.col("kind") == "stmt").alias("statements"), calls.alias("calls"), n(F.col("kind") == "function").alias("functions"), n(F.col("kind") == "error").alias("errors"))
+
+
+@query(r"""WITH w AS (SELECT DISTINCT item_id, unnest(list_filter(regexp_split_to_array(lower(text), '[ \t\r\n]+'), lambda x: x <> '')) AS w FROM benchmark), n AS (SELECT item_id, count(*) AS n, string_agg(w, ' ' ORDER BY w) AS k FROM w GROUP BY item_id),
+f AS (SELECT item_id, n, min(item_id) OVER (PARTITION BY k) AS first FROM n), s AS (SELECT x.item_id AS a, y.item_id AS b, count(*) AS shared FROM w x JOIN w y ON x.w = y.w AND x.item_id < y.item_id GROUP BY 1, 2)
+SELECT a, b, round(shared::DOUBLE / (x.n + y.n - shared), 6) AS similarity FROM s JOIN f x ON x.item_id = a AND x.first = a JOIN f y ON y.item_id = b AND y.first = b WHERE shared::DOUBLE / (x.n + y.n - shared) >= 0.03 UNION ALL SELECT first, item_id, 1 FROM f WHERE first <> item_id""")
+def jaccard_pairs(spark, sf_dir):
+    """Benchmark texts with a thirtieth of their words in common; so few are all compared."""
+    ws = F.array_distinct(F.filter(F.split(F.lower("text"), r"[ \t\r\n]+"), lambda x: x != ""))
+    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), ws.alias("features"))
+    return sketch.similar_pairs(items, 0.03, prefilter=0).select("a", "b", F.round("similarity", 6).alias("similarity"))
+
+
+@query()
+def lsh_pairs(spark, sf_dir):
+    """Documents whose runs of four words are alike by 0.65 or more, by bands of their signatures; a search that can miss, tests measure how much."""
+    items = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), similarity.grams(F.col("text"), 4).alias("features"))
+    return sketch.similar_pairs(items, 0.65, mode="on").select("a", "b", F.round("similarity", 6).alias("similarity"))
