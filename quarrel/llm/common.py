@@ -124,29 +124,60 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64())], names=["a", "b"])
 
 
+FEW_EDGES = 10_000  # counted first; so many, and no more, are joined in one task
+
+
+def _in_one_task(edges: DataFrame) -> DataFrame:
+    """(node, to) for every end of at most FEW_EDGES edges(a, b): the least node it reaches."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        up: dict[int, int] = {}
+
+        def find(x: int) -> int:
+            while (y := up.setdefault(x, x)) != x:
+                up[x] = x = up[y]
+            return x
+
+        for b in batches:
+            for x, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                x, y = find(x), find(y)
+                up[max(x, y)] = min(x, y)
+        nodes = list(up)
+        yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([find(x) for x in nodes], pa.int64())], names=["node", "to"])
+
+    return edges.select("a", "b").coalesce(1).mapInArrow(run, "node long, to long")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of edges(a long, b long): one row (id, component) per id in edges, component its smallest reachable id.
 
     Randomised contraction: each round every node joins its neighbour (or itself) of least pseudo-random rank and edges are relabelled,
-    which shrinks the graph by a constant factor in expectation, for chains as for stars. Every round is a written table; nothing is
-    collected but its edge count. Hubs are reduced by partial aggregates. Loops, repeated edges and an empty table are fine; edges with a
+    which shrinks the graph by a constant factor in expectation, for chains as for stars, until FEW_EDGES are left. Every round is a written
+    table; nothing is collected but its edge count. Hubs are reduced by partial aggregates. Loops, repeated edges and an empty table are fine; edges with a
     null end are ignored.
     """
     e = edges.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).where("a is not null and b is not null")
     e = written(map_batches(e, _forest, "a long, b long").distinct(), "edges")
     labels, turn = None, 0
-    while e.take(1):  # every round joins at least two nodes, so it ends
+    while left := e.count():  # every round joins at least two nodes, so it ends
         turn += 1
-        both = e.select("a", "b").union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        best = both.groupBy("a").agg(F.min(F.struct(F.xxhash64("b", F.lit(turn)).alias("r"), F.col("b").alias("n"))).alias("m"))
-        own = F.struct(F.xxhash64("a", F.lit(turn)).alias("r"), F.col("a").alias("n"))
-        step = written(best.select(F.col("a").alias("node"), F.least(F.col("m"), own)["n"].alias("to")), "step")
+        if left <= FEW_EDGES:
+            step = written(_in_one_task(e), "step")
+        else:
+            both = e.select("a", "b").union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
+            best = both.groupBy("a").agg(F.min(F.struct(F.xxhash64("b", F.lit(turn)).alias("r"), F.col("b").alias("n"))).alias("m"))
+            own = F.struct(F.xxhash64("a", F.lit(turn)).alias("r"), F.col("a").alias("n"))
+            step = written(best.select(F.col("a").alias("node"), F.least(F.col("m"), own)["n"].alias("to")), "step")
         if labels is None:
             after = step.select(F.col("node").alias("id"), F.col("to").alias("label"))
         else:
             moved = step.select(F.col("node").alias("label"), "to")
             after = labels.join(moved, "label", "left").select("id", F.coalesce("to", "label").alias("label"))
         after = written(after, "labels")
+        if left <= FEW_EDGES:
+            discard(step, labels)
+            labels = after
+            break
         n = e.join(step.select(F.col("node").alias("a"), F.col("to").alias("a2")), "a").join(step.select(F.col("node").alias("b"), F.col("to").alias("b2")), "b")
         n = n.select(F.col("a2").alias("a"), F.col("b2").alias("b")).where("a <> b")
         n = written(map_batches(n, _forest, "a long, b long").distinct(), "edges")

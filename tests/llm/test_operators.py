@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 from tokenizers import Tokenizer
 
-from quarrel.llm import licenses, minhash, mixing, neardup_vectors, packing, pii, quality, queries, substring, tokenfile, tokens, topk
+from quarrel.llm import common, licenses, minhash, mixing, neardup_vectors, packing, pii, quality, queries, substring, tokenfile, tokens, topk
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 RNG = random.Random(4)
@@ -532,3 +532,18 @@ def test_common_words_against_the_plain_table():
 
 def test_shapes_are_of_whole_words():
     assert pii.shape("a" * 64 + "-17") == "a-0" and pii.shape("1" * 5000 + "A") == "0A"
+
+
+def test_components_by_rounds_and_in_one_task(spark, monkeypatch):
+    rng = random.Random(11)
+    edges = [(i, i + 1) for i in range(60)] + [(100, k) for k in range(101, 140)] + [(rng.randrange(200, 260), rng.randrange(200, 260)) for _ in range(40)] + [(7, 7), (5, None)]
+    df = spark.createDataFrame(edges, "a long, b long")
+    up = {x: x for e in edges if e[1] is not None and e[0] != e[1] for x in e}
+    for _ in range(70):
+        for a, b in edges:
+            if a in up and b in up:
+                up[a] = up[b] = min(up[a], up[b])
+    for few in (10_000, 5, 0):
+        monkeypatch.setattr(common, "FEW_EDGES", few)
+        assert {r.id: r.component for r in common.components(df).collect()} == up
+    assert common.components(df.where("false")).count() == 0
