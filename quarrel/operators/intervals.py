@@ -6,15 +6,28 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def _around(spans: DataFrame, points: DataFrame) -> DataFrame:
+    """points(key, point_id, at) with the spans(key, span_id, s, e) around them, all times as microseconds.
+
+    A span lies in one or two buckets as wide as the power of two above its length, and a point in one bucket of each width there is (64 at
+    most), so a key with many spans is spread over its buckets and no point meets the spans of another time.
+    """
+    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp")).alias(c)
+    sized = spans.select("key", "span_id", micros("s"), micros("e")).where("s <= e").withColumn("width", F.ceil(F.log2(F.col("e") - F.col("s") + 2)).cast("int"))
+    widths = sorted(r[0] for r in sized.select("width").distinct().collect())
+    bucket = lambda c: F.floor(F.col(c) / F.pow(F.lit(2.0), F.col("width"))).cast("long")
+    left = sized.withColumn("bucket", F.explode(F.array_distinct(F.array(bucket("s"), bucket("e")))))
+    right = points.select("key", "point_id", micros("at")).withColumn("width", F.explode(F.array(*map(F.lit, widths)) if widths else F.array().cast("array<int>"))).withColumn("bucket", bucket("at"))
+    return right.join(left, ["key", "width", "bucket"]).where((F.col("s") <= F.col("at")) & (F.col("at") <= F.col("e")))
+
+
 def innermost(spans: DataFrame, points: DataFrame) -> DataFrame:
     """(point_id, span_id) of the shortest span(key, span_id, s, e) around each point(key, point_id, at); ties to the later start, then id.
 
-    An equi-join on the key narrows the range condition; a point keeps its best span by a partial aggregate, not a sort of all matches.
+    A point keeps its best span by a partial aggregate, not a sort of all matches.
     """
-    met = points.join(spans, "key").where((F.col("s") <= F.col("at")) & (F.col("at") <= F.col("e")))
-    at = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
-    best = F.min(F.struct((at("e") - at("s")).alias("w"), (-at("s")).alias("s"), F.col("span_id")))
-    return met.groupBy("point_id").agg(best["span_id"].alias("span_id"))
+    best = F.min(F.struct((F.col("e") - F.col("s")).alias("w"), (-F.col("s")).alias("s"), F.col("span_id")))
+    return _around(spans, points).groupBy("point_id").agg(best["span_id"].alias("span_id"))
 
 
 def latest_before(events: DataFrame, key: str, order: list[str], is_def, is_use) -> DataFrame:
@@ -43,9 +56,8 @@ def maximal(spans: DataFrame) -> DataFrame:
 
 def enclosing(spans: DataFrame, points: DataFrame) -> DataFrame:
     """point_id, depth and scopes (ids of the other spans around the point, widest first, joined by slashes). Scopes of a point are as many as it is deep."""
-    met = points.join(spans.select("key", "span_id", F.col("s").alias("from"), "e"), "key").where((F.col("from") <= F.col("at")) & (F.col("at") <= F.col("e")) & (F.col("span_id") != F.col("point_id")))
-    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
-    found = met.select("point_id", F.struct((micros("from") - micros("e")).alias("w"), "span_id").alias("m")).groupBy("point_id").agg(F.sort_array(F.collect_list("m")).alias("l"))
+    met = _around(spans, points).where("span_id <> point_id")
+    found = met.select("point_id", F.struct((F.col("s") - F.col("e")).alias("w"), "span_id").alias("m")).groupBy("point_id").agg(F.sort_array(F.collect_list("m")).alias("l"))
     return found.select("point_id", F.size("l").cast("long").alias("depth"), F.array_join(F.transform("l", lambda x: x["span_id"].cast("string")), "/").alias("scopes"))
 
 

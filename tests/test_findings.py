@@ -1,5 +1,7 @@
 """Scopes, snippets, roots, deltas, medians and checks at their edges."""
 
+import random
+
 from pyspark.sql import functions as F
 
 from quarrel import functions as fn
@@ -19,10 +21,27 @@ def test_uses_are_hidden_by_any_span_that_covers_them(spark):
 
 def test_enclosing_scopes_are_listed_widest_first(spark):
     spans = spark.createDataFrame([("k", 1, 0, 100), ("k", 2, 10, 50), ("k", 3, 20, 30), ("m", 4, 0, 99)], "key string, span_id long, s long, e long")
+    spans = spans.select("key", "span_id", F.timestamp_seconds("s").alias("s"), F.timestamp_seconds("e").alias("e"))
     points = spans.select("key", F.col("span_id").alias("point_id"), F.col("s").alias("at"))
     assert rows(intervals.enclosing(spans, points), "point_id") == [(2, 1, "1"), (3, 2, "1/2")]
 
 
+def test_innermost_against_brute_force(spark):
+    rng = random.Random(3)
+    spans = [(rng.choice("ab"), i, a := rng.randrange(2000), a + rng.choice((0, 1, 5, 60, 900))) for i in range(80)]
+    points = [(rng.choice("abc"), i, rng.randrange(2200)) for i in range(200)]
+    want = {}
+    for key, p, at in points:
+        around = [(e - s, -s, i) for k, i, s, e in spans if k == key and s <= at <= e]
+        if around:
+            want[p] = min(around)[2]
+    at = lambda *cs: [F.timestamp_seconds(c).alias(c) for c in cs]
+    left = spark.createDataFrame(spans, "key string, span_id long, s long, e long").select("key", "span_id", *at("s", "e"))
+    right = spark.createDataFrame(points, "key string, point_id long, at long").select("key", "point_id", *at("at"))
+    assert {r.point_id: r.span_id for r in intervals.innermost(left, right).collect()} == want
+    assert intervals.innermost(left.limit(0), right).count() == 0
+
+
 def test_repeated_boundary_lines_go(spark):
     c = spark.createDataFrame([(1, 1, "a\nb"), (1, 2, "b\nc"), (1, 3, "c"), (1, 4, "d"), (2, 1, "")], "k long, t long, text string")
     assert [(r.again, r.kept) for r in fn.joined_snippets(c, "k", ["t", "text"]).orderBy("k", "t").collect()] == [(False, "a\nb"), (True, "c"), (True, ""), (False, "d"), (False, "")]
