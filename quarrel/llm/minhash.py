@@ -36,7 +36,7 @@ from quarrel.llm.common import Union, components, discard, gram_hashes, lower_wo
 SHINGLE = 5
 PERCENT = 85
 ROWS, LEFT, RIGHT = 3, 10, 10
-BLOCK_DOCS = 128
+FIRST_DOCS, BLOCK_DOCS = 64, 128  # documents of a block, of the first comparison and of the second
 BLOCK_SHINGLES = 1 << 19
 HUBS = 4
 
@@ -193,7 +193,7 @@ def _sets(docs: DataFrame, members: DataFrame) -> DataFrame:
 def _within_blocks(sets: DataFrame, weights: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     """Links (a, b) found inside blocks, and (cluster) of more than one block."""
     size = sets.groupBy("cluster").agg(F.count(F.lit(1)).alias("docs"), F.sum("n").alias("grams"))
-    parts = F.greatest(F.ceil(F.col("docs") / BLOCK_DOCS), F.ceil(F.col("grams") / BLOCK_SHINGLES)).cast("int")
+    parts = F.greatest(F.ceil(F.col("docs") / FIRST_DOCS), F.ceil(F.col("grams") / BLOCK_SHINGLES)).cast("int")
     size = written(size.select("cluster", parts.alias("parts")), "cluster-parts")
     large = size.where("parts > 1")
     central = F.row_number().over(Window.partitionBy("cluster").orderBy(F.col("held").desc(), "node"))  # a limit that runs before the shuffle

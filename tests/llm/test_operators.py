@@ -371,6 +371,7 @@ def test_minhash_against_all_pairs(docs, rows, empty):
 
 
 def test_large_cluster_is_dealt_into_blocks(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "FIRST_DOCS", 4)
     monkeypatch.setattr(minhash, "BLOCK_DOCS", 4)
     words = [f"v{i}" for i in range(150)]
     rows = [(i, " ".join(words[:k] + [f"q{i}"] + words[k + 1 :])) for i, k in enumerate(range(2, 150, 5))]
@@ -387,6 +388,7 @@ def test_minhash_rows_that_share_a_doc_id(spark):
 
 
 def test_large_cluster_of_several_parts_against_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "FIRST_DOCS", 6)
     monkeypatch.setattr(minhash, "BLOCK_DOCS", 6)
     monkeypatch.setattr(minhash, "HUBS", 1)
     rng = random.Random(12)
