@@ -8,6 +8,7 @@ loses pairs and is off); up to `exhaustive` pairs of classes all are compared, w
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -111,3 +112,35 @@ def similar_pairs(items: DataFrame, threshold: float, prefilter: float = 0.1, ex
     met = pairs.join(first.withColumnsRenamed({"id": "a", "features": "x"}), "a").join(first.withColumnsRenamed({"id": "b", "features": "y"}), "b")
     met = met.where(F.least(size("x"), size("y")) >= max(threshold, prefilter) * F.greatest(size("x"), size("y")))
     return equal.union(met.select("a", "b", jaccard(F.col("x"), F.col("y")).alias("similarity")).where(F.col("similarity") >= max(threshold, prefilter)))
+
+
+_QUOTED_OR_SPACE = re.compile(r"""("(?:\\.|[^"\\])*"?|'(?:\\.|[^'\\])*'?|`(?:\\.|[^`\\])*`?)|[ \t\n\r\f]+""", re.S)
+_WORD_BYTE = re.compile(r"[A-Za-z0-9_$\u0080-\U0010ffff]")
+
+
+def code_text(text: str) -> str:
+    """Source text without white space outside quotes, but for one space where it parts two words; quoted text stays as it is."""
+
+    def part(m: re.Match) -> str:
+        if m[1]:
+            return m[1]
+        around = text[m.start() - 1 : m.start()], text[m.end() : m.end() + 1]
+        return " " if all(_WORD_BYTE.match(c) for c in around) else ""
+
+    return _QUOTED_OR_SPACE.sub(part, text)
+
+
+def code_digest(text: str) -> str:
+    """FNV-1a of code_text as 16 hexadecimal digits; '' of empty text. Equal digests are copies of the first kind."""
+    flat = code_text(text)
+    return f"{int(fnv1a([flat])[0]):016x}" if flat else ""
+
+
+def code_digests(items: DataFrame) -> DataFrame:
+    """id, digest of items(id, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([code_digest(t or "") for t in b.column(1).to_pylist()], pa.string())], names=["id", "digest"])
+
+    return items.select(F.col("id").cast("long").alias("id"), "text").mapInArrow(run, "id long, digest string")

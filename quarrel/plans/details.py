@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from quarrel import functions as fn
 from quarrel.operators import graph, metrics, scoring, similarity, sketch
-from quarrel.plans.bindings import CBO, CLOSURE, EDGES, FUNCTIONS, PATHS, PLACED, deps, edges, functions, placed, query, table, weighted_edges
+from quarrel.plans.bindings import CBO, CHAINS, CLOSURE, EDGES, FUNCTIONS, PATHS, PLACED, deps, edges, functions, placed, query, table, weighted_edges
 from quarrel.sources import js
 
 # ---- orders: every one is total ----
@@ -348,6 +348,23 @@ def cycle_suggestions(spark, sf_dir):
     return graph.suggestions(graph.cycles(w.select("src", "dst")), graph.break_edges(w))
 
 
+_BEST = f"{EDGES.replace('edges AS (SELECT src, dst FROM', 'forward AS (SELECT src, dst FROM')}, edges AS (SELECT dst AS src, src AS dst FROM forward)"
+_BACK = CHAINS.replace(EDGES, _BEST)
+
+
+@query(f"WITH RECURSIVE {_BACK} SELECT scc AS node, weight FROM m WHERE scc IN (SELECT src FROM forward) AND scc NOT IN (SELECT dst FROM forward) ORDER BY weight DESC, scc LIMIT 5")
+def entry_chains(spark, sf_dir):
+    """The entries from which the heaviest chains start."""
+    return graph.entry_chains(graph.written(edges(spark, sf_dir), "edges"))
+
+
+@query(f"""WITH RECURSIVE {CHAINS}, c AS (SELECT scc, weight, (SELECT min(s) FROM k JOIN m b ON b.scc = s WHERE d = m.scc AND b.weight = m.weight - m.size) AS before FROM m)
+SELECT row_number() OVER (ORDER BY weight DESC, scc)::INTEGER AS rank, scc, weight FROM c WHERE scc NOT IN (SELECT before FROM c WHERE before IS NOT NULL) QUALIFY rank <= 3""")
+def top_chains(spark, sf_dir):
+    """The ends of the heaviest chains."""
+    return graph.top_chains(edges(spark, sf_dir))
+
+
 # ---- scripts in pages, and sketches ----
 
 

@@ -79,3 +79,23 @@ def test_columns(spark):
     assert [r[0] for r in spark.createDataFrame([(n,) for n in (0, 2, 3, 4, 10, 11, 60, 61, 1000, 1001)], "n long").select(fn.axis_ceiling(F.col("n"))).collect()] == [3, 3, 3, 5, 10, 20, 60, 100, 1000, 2000]
     assert [r[0] for r in spark.createDataFrame([(p,) for p in ("a/test.js", "a/x.spec", "a/x.test.ts", "a/testing.js", "a/__tests__/b.js")], "p string").select(fn.is_test(F.col("p"))).collect()] == [True, True, True, False, True]
     assert spark.range(1).select(fn.strip_comments(F.lit("a<!--\n-->b<!--c"), "<!--", "-->")).first()[0] == "ab<!--c"
+
+
+def test_names_paths_and_literals(spark):
+    def of(values, *cols):
+        return [tuple(r) for r in spark.createDataFrame([(v,) for v in values], "x string").select(*[c.alias(f"c{i}") for i, c in enumerate(cols)]).collect()]
+
+    x = F.col("x")
+    assert of(["'a'", '"b"', "`c`", "`${d}`", "'e", "f", "''"], fn.unquoted(x)) == [("a",), ("b",), ("c",), (None,), (None,), (None,), ("",)]
+    assert of(["/r/a/b", "/rx/a", "/r", "\\r\\a"], fn.relative_to(x, "/r/")) == [("a/b",), ("/rx/a",), ("/r",), ("a",)]
+    assert of(["./a/b", "../../p/q", "@s/p/q", "@s", "lodash/x", "lodash"], fn.package_of(x)) == [("a",), ("p",), ("@s/p",), ("@s",), ("lodash",), ("lodash",)]
+    assert of(["import type a\nimport b\n  import type c", ""], fn.type_only_lines(x)) == [([1, 3],), ([],)]
+    assert of(["identifier(a(b))", "if"], fn.label_base(x)) == [("identifier",), ("if",)]
+    assert of(["Box", "box", "Éa", "_x", "", "1"], fn.is_exported(x)) == [(True,), (False,), (True,), (False,), (False,), (False,)]
+    assert of(["AsyncFunctionDeclaration", "ClassDeclaration", "VariableDeclaration"], fn.declares_callable(x)) == [(True,), (True,), (False,)]
+    assert of(["/s/app/x/page.tsx", "/s/app/x/route.ts", "/s/page.tsx"], fn.is_reserved(x, F.lit("metadata")), fn.is_reserved(x, F.lit("GET"))) == [(True, False), (True, True), (False, False)]
+    assert of(["info", "warning", "critical", "odd"], fn.at_least_severity(x, "warning")) == [(False,), (True,), (True,), (False,)]
+    assert of(["unreachable", "other"], fn.reason_text(x)) == [("Code that no path reaches",), ("Code that never runs",)]
+    assert of(["package", "relative"], fn.is_external(x), fn.counted(F.length(x), "letter", "letters")) == [(True, "7 letters"), (False, "8 letters")]
+    assert of(["a::b::c", "d"], fn.last_part(x, "::")) == [("c",), ("d",)]
+    assert spark.range(1).select(fn.abstractness(F.lit(25)), fn.abstractness(F.lit(3))).first()[:] == (1.0, 0.3)

@@ -54,3 +54,10 @@ def test_search_finds_what_all_pairs_do(spark):
     want = {(a, b) for x, a in first.items() for y, b in first.items() if a < b and sim(x, y) >= 0.7} | {(first[s], i) for i, s in sets.items() if first[s] != i}
     found = {m: {(r.a, r.b) for r in sketch.similar_pairs(items, 0.7, mode=m).collect()} for m in ("on", "off")}
     assert found["off"] == want and found["on"] <= want and len(found["on"]) >= 0.95 * len(want)
+
+
+def test_code_without_white_space(spark):
+    assert sketch.code_text("return  a +\tb ;\n x = 'a  b' + `c\n d` ") == "return a+b;x='a  b'+`c\n d`"
+    assert sketch.code_digest(" \n") == "" and sketch.code_digest("a ;b") == sketch.code_digest("a; b") != sketch.code_digest("ab")
+    got = sketch.code_digests(spark.createDataFrame([(1, "f ( x )"), (2, "f(x)"), (3, None)], "id long, text string")).collect()
+    assert got[0].digest == got[1].digest and len(got[0].digest) == 16 and got[2].digest == ""
