@@ -8,7 +8,7 @@
    A key can only be shared where both its bands are, so pairs are formed of bands that another node has as well, and of no others.
 3. Members of a key are joined to its least member; the components of those star edges are candidate clusters.
 4. Clusters are compared on full sets with dense products, all pairs inside a block of bounded size. A cluster beyond a block is dealt into
-   blocks by hash, each with the cluster's HUBS, the nodes that share most keys: a group of copies of one text is linked by these alone. Only
+   blocks by hash, each with the cluster's HUBS, nodes that share the most keys: a group of copies of one text is linked by these alone. Only
    nodes that are then outside their cluster's largest part are compared with all its others, in pairs of blocks of neighbouring bands of
    set size. A unit passes on a spanning forest of its links, so no table grows with the square of a group.
 5. Components of the confirmed links give the result.
@@ -28,7 +28,7 @@ from functools import cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarrel.llm.common import Union, components, discard, gram_hashes, lower_words, release, runs, shuffle_width, tie, word_hashes, written
@@ -196,9 +196,11 @@ def _within_blocks(sets: DataFrame, weights: DataFrame, percent: int) -> tuple[D
     parts = F.greatest(F.ceil(F.col("docs") / FIRST_DOCS), F.ceil(F.col("grams") / BLOCK_SHINGLES)).cast("int")
     size = written(size.select("cluster", parts.alias("parts")), "cluster-parts")
     large = size.where("parts > 1")
-    central = F.row_number().over(Window.partitionBy("cluster").orderBy(F.col("held").desc(), "node"))  # a limit that runs before the shuffle
-    hubs = sets.select("node", "cluster").join(large, "cluster").join(weights, "node").withColumn("r", central).where(F.col("r") <= HUBS)
-    hubs = written(hubs.select(F.col("node").alias("hub")), "hubs")
+    # The most central node of each of HUBS classes by hash: partial aggregates, so no task sees a cluster's nodes.
+    share = F.pmod(F.xxhash64("node", F.lit(7)), F.lit(HUBS)).alias("class")
+    central = F.max(F.struct("held", (-F.col("node")).alias("minus")))["minus"]
+    hubs = sets.select("node", "cluster").join(large, "cluster").join(weights, "node").groupBy("cluster", share).agg((-central).alias("hub"))
+    hubs = written(hubs.select("hub"), "hubs")
     block = F.pmod(F.xxhash64("node", F.lit(5)), F.col("parts")).cast("int")
     placed = sets.join(size, "cluster").join(hubs, F.col("node") == F.col("hub"), "left").withColumn("block", block)
     every = F.when(F.col("hub").isNotNull(), F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array("block"))
