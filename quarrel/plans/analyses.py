@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from quarrel.operators import flow, grouping, metrics, similarity
 from quarrel.operators.graph import written
+from quarrel.plans import scratch
 from quarrel.plans.bindings import ORACLE, query, table
 from quarrel.plans.reports import clone_pairs
 
@@ -206,7 +207,9 @@ def copy_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """clone_pairs(), searched once for a session and kept in the shared folder."""
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _FOUND:
-        _FOUND[key] = written(clone_pairs(spark, sf_dir), "clone-pairs").inputFiles()[0].rsplit("/", 1)[0]
+        path = scratch(spark, "clone-pairs")
+        clone_pairs(spark, sf_dir).write.parquet(path)
+        _FOUND[key] = path
     return spark.read.parquet(_FOUND[key])
 
 
