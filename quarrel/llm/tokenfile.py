@@ -61,11 +61,10 @@ def encode_image(doc_ids: list[int | None], counts: np.ndarray, ids: np.ndarray)
     for w in np.unique(width):
         if w:
             pick = np.nonzero(width == w)[0]
-            planes = np.empty((len(pick), int(w), BLOCK), np.uint8)
+            rest, packed = delta[pick].astype(np.uint16 if w <= 16 else np.uint32), np.empty((len(pick), int(w), BLOCK // 8), np.uint8)
             for k in range(int(w)):
-                planes[:, k] = (delta[pick] >> np.uint32(k)) & np.uint32(1)
-            packed = np.packbits(planes.reshape(len(pick), -1), axis=1, bitorder="little")
-            data[(starts[pick, None] + np.arange(packed.shape[1])).ravel()] = packed.ravel()
+                packed[:, k] = np.packbits((rest & rest.dtype.type(1 << k)) != 0, axis=1, bitorder="little")
+            data[(starts[pick, None] + np.arange(int(w) * (BLOCK // 8))).ravel()] = packed.ravel()
     known = np.array([d is not None for d in doc_ids], np.uint8)
     return b"".join((
         HEADER.pack(MAGIC, len(doc_ids), n, len(values), len(data)),

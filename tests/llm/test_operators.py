@@ -110,6 +110,32 @@ def test_tokens_equal_the_library():
             assert np.frombuffer(got, "<u4").tolist() == plain.encode(t or "", add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("name, kind", [("byte_bpe_50k.json", False), ("word_bpe_49k.json", True)])
+def test_tokens_look_up_a_piece_once_in_a_part(name, kind):
+    class Counting(dict):
+        looks = 0
+
+        def get(self, key):
+            self.looks += 1
+            return super().get(key)
+
+        def __getitem__(self, key):
+            self.looks += 1
+            return super().__getitem__(key)
+
+        def keys(self):  # a walk through the whole cache
+            self.looks += len(self)
+            return super().keys()
+
+    e = tokens.Encoder(tokens.vocabulary(name), kind)
+    texts = ["the cat, naïve\nand été*** of the mat. " * 40 + "end"] * 50
+    want = e.batch(texts)
+    e.cache = Counting(e.cache)
+    assert e.batch(texts) == want and e.cache.looks <= len(e.cache)
+    plain = Tokenizer.from_file(tokens.vocabulary(name))
+    assert np.frombuffer(want[0], "<u4").tolist() == plain.encode(texts[0], add_special_tokens=False).ids
+
+
 def test_packing_covers_every_id_once(docs, rows):
     path = tokens.vocabulary("word_bpe_49k.json")
     e = tokens.Encoder(path, True)
