@@ -3,7 +3,7 @@
 items(id, features) hold an array of distinct texts. Signatures are of HASHES values, minima over the features of seeded hashes of 64 bits; bands of
 ROWS values each are the keys of band tables. Items of equal features are one class before they are banded, so a group of copies makes no
 pairs; what is alike and not equal is paired in its bands, each pair once. A cap on followers in a band exists for those who want it (it
-loses pairs and is off); up to `exhaustive` pairs of classes all are compared, which is counted first.
+loses pairs and is off). similar_pairs() compares all items that share a feature unless it is told to look at bands, at any number of items.
 """
 
 from __future__ import annotations
@@ -89,29 +89,39 @@ def candidates(banded: DataFrame, followers: int | None = None) -> DataFrame:
 
 
 def use_bands(n_items: int, exhaustive: int, mode: str = "auto") -> bool:
-    """on, off, or by whether all pairs are more than `exhaustive`."""
+    """on, off, or by whether all pairs are more than `exhaustive`: for callers that choose; similar_pairs() does not look at the number."""
     if mode not in ("on", "off", "auto"):
         raise ValueError(f"no such mode: {mode}")
     return mode == "on" or (mode == "auto" and n_items * (n_items - 1) // 2 > exhaustive)
 
 
-def similar_pairs(items: DataFrame, threshold: float, prefilter: float = 0.1, exhaustive: int = 10_000, mode: str = "auto") -> DataFrame:
-    """a, b, similarity of pairs of classes of equal features whose Jaccard similarity reaches the threshold, and of each class's least id with
-    its other members (1.0). Sizes that rule the threshold out go before features meet; items without features pair with nothing."""
+def similar_pairs(items: DataFrame, threshold: float, prefilter: float = 0.1, mode: str = "off") -> DataFrame:
+    """a, b, similarity of pairs of classes of equal features whose Jaccard similarity reaches the threshold (and the prefilter), and of each
+    class's least id with its other members (1.0). Items without features pair with nothing. Off: complete, by what is counted for each pair of
+    classes that share a feature; on: of classes that share a band, which can miss some. The number of items decides nothing."""
+    if mode not in ("on", "off"):
+        raise ValueError(f"no such mode: {mode}")
+    level = max(threshold, prefilter)
     some = items.where(F.size("features") > 0).withColumn("features", F.sort_array(F.array_distinct("features")))
     keyed = written(some.select("id", "features", F.sha2(F.concat_ws("\0", "features"), 256).alias("digest")), "features")
     least = keyed.groupBy("digest").agg(F.min("id").alias("a"))
     equal = keyed.join(least, "digest").where("id <> a").select("a", F.col("id").alias("b"), F.lit(1.0).alias("similarity"))
     first = written(keyed.join(least.select("digest", F.col("a").alias("id")), ["digest", "id"], "left_semi").select("id", "features").dropDuplicates(["id"]), "classes")
-    if use_bands(n := first.count(), exhaustive, mode):
+    if mode == "off" and level > 0:
+        each = first.select("id", F.size("features").alias("n"), F.explode("features").alias("f"))
+        side = lambda c: each.select("f", F.col("id").alias(c), F.col("n").alias(f"n{c}"))
+        met = side("a").join(side("b"), "f").where("a < b").groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("shared"))
+        found = met.select("a", "b", (F.col("shared") / (F.col("na") + F.col("nb") - F.col("shared"))).alias("similarity"))
+        return equal.union(found.where(F.col("similarity") >= level))
+    if mode == "on":
         pairs = candidates(bands(signatures(first)))
-    else:  # n (n - 1) / 2 pairs, `exhaustive` at most unless the mode asks for them
+    else:  # at 0 classes that share nothing are pairs too
         ids = first.select(F.col("id").alias("a"))
         pairs = ids.join(ids.withColumnRenamed("a", "b"), F.col("a") < F.col("b"))
     size = lambda c: F.size(c).cast("double")
     met = pairs.join(first.withColumnsRenamed({"id": "a", "features": "x"}), "a").join(first.withColumnsRenamed({"id": "b", "features": "y"}), "b")
-    met = met.where(F.least(size("x"), size("y")) >= max(threshold, prefilter) * F.greatest(size("x"), size("y")))
-    return equal.union(met.select("a", "b", jaccard(F.col("x"), F.col("y")).alias("similarity")).where(F.col("similarity") >= max(threshold, prefilter)))
+    met = met.where(F.least(size("x"), size("y")) >= level * F.greatest(size("x"), size("y")) - 1e-9)
+    return equal.union(met.select("a", "b", jaccard(F.col("x"), F.col("y")).alias("similarity")).where(F.col("similarity") >= level))
 
 
 _QUOTED_OR_SPACE = re.compile(r"""("(?:\\.|[^"\\])*"?|'(?:\\.|[^'\\])*'?|`(?:\\.|[^`\\])*`?)|[ \t\n\r\f]+""", re.S)

@@ -384,7 +384,7 @@ def page_scripts(spark, sf_dir):
 f AS (SELECT item_id, n, min(item_id) OVER (PARTITION BY k) AS first FROM n), s AS (SELECT x.item_id AS a, y.item_id AS b, count(*) AS shared FROM w x JOIN w y ON x.w = y.w AND x.item_id < y.item_id GROUP BY 1, 2)
 SELECT a, b, round(shared::DOUBLE / (x.n + y.n - shared), 6) AS similarity FROM s JOIN f x ON x.item_id = a AND x.first = a JOIN f y ON y.item_id = b AND y.first = b WHERE shared::DOUBLE / (x.n + y.n - shared) >= 0.03 UNION ALL SELECT first, item_id, 1 FROM f WHERE first <> item_id""")
 def jaccard_pairs(spark, sf_dir):
-    """Benchmark texts with a thirtieth of their words in common; so few are all compared."""
+    """Benchmark texts with a thirtieth of their words in common: all that share a word are compared, at any size."""
     ws = F.array_distinct(F.filter(F.split(F.lower("text"), r"[ \t\r\n]+"), lambda x: x != ""))
     items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), ws.alias("features"))
     return sketch.similar_pairs(items, 0.03, prefilter=0).select("a", "b", F.round("similarity", 6).alias("similarity"))

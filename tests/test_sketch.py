@@ -56,6 +56,22 @@ def test_search_finds_what_all_pairs_do(spark):
     assert found["off"] == want and found["on"] <= want and len(found["on"]) >= 0.95 * len(want)
 
 
+def test_search_is_complete_at_any_number(spark):
+    """More than 10,000 pairs, most of them far under what bands find."""
+    rng = random.Random(4)
+    rows = [(i, sorted({f"w{rng.randrange(400)}" for _ in range(40)})) for i in range(170)]
+    rows += [(1000 + i, rows[i][1]) for i in range(5)]
+    items = spark.createDataFrame(rows, "id long, features array<string>")
+    sets = {i: set(f) for i, f in rows}
+    want = {(a, b) for a in range(170) for b in range(a + 1, 170) if len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.03} | {(i, 1000 + i) for i in range(5)}
+    got = [(r.a, r.b) for r in sketch.similar_pairs(items, 0.03, prefilter=0).collect()]
+    assert set(got) == want and len(got) == len(want) > 10_000
+    few = sketch.similar_pairs(items.where("id < 4"), 0, prefilter=0).collect()
+    assert len(few) == 6
+    with pytest.raises(ValueError):
+        sketch.similar_pairs(items, 0.5, mode="auto")
+
+
 def test_code_without_white_space(spark):
     assert sketch.code_text("return  a +\tb ;\n x = 'a  b' + `c\n d` ") == "return a+b;x='a  b'+`c\n d`"
     assert sketch.code_digest(" \n") == "" and sketch.code_digest("a ;b") == sketch.code_digest("a; b") != sketch.code_digest("ab")
