@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarrel.operators import setjoin
 from quarrel.operators.similarity import jaccard
 from quarrel.plans import written
 
@@ -43,10 +44,13 @@ def hash_functions(n: int = HASHES, seed: int = SEED) -> tuple[np.ndarray, np.nd
 
 def signature(features: list[str], n: int = HASHES) -> np.ndarray:
     """Minima of n functions over the features' hashes; zeros of no features."""
-    if not features:
-        return np.zeros(n, np.uint64)
+    return minima(fnv1a(features), n) if features else np.zeros(n, np.uint64)
+
+
+def minima(x: np.ndarray, n: int = HASHES) -> np.ndarray:
+    """The same of hashes, of which there is one at least."""
     a, b = hash_functions(n)
-    x, low = fnv1a(features), np.full(n, np.iinfo(np.uint64).max, np.uint64)
+    low = np.full(n, np.iinfo(np.uint64).max, np.uint64)
     for at in range(0, len(x), 4096):
         low = np.minimum(low, (((a[:, None] * x[None, at : at + 4096]) ^ b[:, None]) + (a + b)[:, None]).min(1))
     return low
@@ -124,6 +128,63 @@ def similar_pairs(items: DataFrame, threshold: float, prefilter: float = 0.1, mo
     return equal.union(met.select("a", "b", jaccard(F.col("x"), F.col("y")).alias("similarity")).where(F.col("similarity") >= level))
 
 
+def similar_texts(items: DataFrame, k: int, percent: int) -> DataFrame:
+    """a, b, similarity: similar_pairs() with bands for items(id, text), a feature being a run of k words. Features stay hashes in arrays, and
+    those of texts that share a band alone are made a second time, to be compared. A band's key of many texts chains them by size, and all
+    pairs of a chain's component are compared: more than share a band."""
+    spark, buckets = items.sparkSession, setjoin.width(items.sparkSession)
+    number = np.arange(HASHES // ROWS, dtype=np.uint64)
+
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keep, digests, n, keys = [], [], [], []
+            for i, text in enumerate(b.column(1).to_pylist()):
+                s = setjoin.run_set(setjoin.words(text), k)
+                if len(s):
+                    low, key = minima(s).reshape(-1, ROWS), number
+                    for r in range(ROWS):
+                        key = setjoin.mixed(key * np.uint64(0x9E3779B97F4A7C15) + low[:, r])
+                    keep.append(i)
+                    digests.append(setjoin.set_digest(s))
+                    n.append(len(s))
+                    keys.append(key.tobytes())
+            nodes = pa.array(np.frombuffer(b"".join(d[:8] for d in digests), np.int64), pa.int64())
+            columns = [b.column(0).take(pa.array(keep, pa.int32())), pa.array(digests, pa.binary()), nodes, pa.array(n, pa.int64()), pa.array(keys, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "digest", "node", "n", "keys"])
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield setjoin.packed([np.frombuffer(x.as_buffer(), np.uint64) for x in b.column(2)], b.column(0).to_numpy(), b.column(1).to_numpy(), buckets, 1)
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in setjoin.groups(batches):
+            yield setjoin.meetings(t, percent)
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            of = lambda c, b=b: [np.frombuffer(x.as_buffer(), np.uint64) for x in b.column(c)]
+            shared = [len(np.intersect1d(x, y, assume_unique=True)) for x, y in zip(of(2), of(3), strict=True)]
+            sizes = [pa.array([len(x) for x in of(c)], pa.int64()) for c in (2, 3)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(shared, pa.int64()), *sizes], names=["a", "b", "shared", "na", "nb"])
+
+    known = items.where("id is not null and text is not null").select(F.col("id").cast("long").alias("id"), F.lower("text").alias("t"))
+    signed = written(known.mapInArrow(sign, "id long, digest binary, node long, n long, keys binary"), "signed")
+    first = written(signed.groupBy("digest").agg(F.min("id").alias("id"), *[F.first(c).alias(c) for c in ("node", "n", "keys")]), "classes")
+    equal = signed.select("id", "digest").distinct().join(first.select("digest", F.col("id").alias("a")), "digest").where("id <> a").select("a", F.col("id").alias("b"), F.lit(1.0).alias("similarity"))
+    met = setjoin.dealt(first.select("node", "n", "keys").mapInArrow(pack, setjoin.PACKED)).mapInArrow(meet, "a long, b long, na long, nb long, met long")
+    edges = written(met.groupBy("a", "b").agg((F.max("met") >= setjoin.CHAINED).alias("chained")), "edges")
+    nodes = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct()
+    sets = written(setjoin.sets_of(items, first.select("id", "digest", "node").join(nodes, "node", "left_semi"), k, by_set=True), "sets")
+    setjoin.release(spark)
+    whole = setjoin.verified(sets, edges.where("chained").select("a", "b"), percent)
+    side = lambda p: sets.select(F.col("node").alias(p), F.col("id").alias(f"{p}_id"), F.col("s").alias(f"{p}_s"))
+    both = edges.where("not chained").select("a", "b").join(side("a"), "a").join(side("b"), "b").select("a_id", "b_id", "a_s", "b_s")
+    single = both.mapInArrow(compare, "a long, b long, shared long, na long, nb long").where(f"a <> b and 100 * shared >= {percent} * (na + nb - shared)")
+    single = single.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "shared", "na", "nb")
+    found = whole.union(single).dropDuplicates(["a", "b"])
+    return equal.union(found.select("a", "b", (F.col("shared") / (F.col("na") + F.col("nb") - F.col("shared"))).alias("similarity")))
+
+
 _QUOTED_OR_SPACE = re.compile(r"""("(?:\\.|[^"\\])*"?|'(?:\\.|[^'\\])*'?|`(?:\\.|[^`\\])*`?)|[ \t\n\r\f]+""", re.S)
 _WORD_BYTE = re.compile(r"[A-Za-z0-9_$\u0080-\U0010ffff]")
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarrel import functions as fn
-from quarrel.operators import graph, metrics, scoring, similarity, sketch
+from quarrel.operators import graph, metrics, scoring, sketch
 from quarrel.plans.bindings import CBO, CHAINS, CLOSURE, EDGES, FUNCTIONS, PATHS, PLACED, deps, edges, functions, placed, query, table, weighted_edges
 from quarrel.sources import js
 
@@ -393,5 +393,5 @@ def jaccard_pairs(spark, sf_dir):
 @query()
 def lsh_pairs(spark, sf_dir):
     """Documents whose runs of four words are alike by 0.65 or more, by bands of their signatures; a search that can miss, tests measure how much."""
-    items = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), similarity.grams(F.col("text"), 4).alias("features"))
-    return sketch.similar_pairs(items, 0.65, mode="on").select("a", "b", F.round("similarity", 6).alias("similarity"))
+    items = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    return sketch.similar_texts(items, 4, 65).select("a", "b", F.round("similarity", 6).alias("similarity"))

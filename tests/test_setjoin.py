@@ -74,13 +74,13 @@ def test_most_texts_are_settled_before_any_is_paired(spark, sf):
 def test_meetings_pair_few_and_chain_many():
     def packed(sets):
         s = [np.array(sorted(x), np.uint64) for x in sets.values()]
-        return pa.Table.from_batches([setjoin._packed(s, np.array(list(sets)), np.array([len(x) for x in s]), 1, 1.0)])
+        return pa.Table.from_batches([setjoin.packed(s, np.array(list(sets)), np.array([len(x) for x in s]), 1, 1.0)])
 
     got = setjoin.meetings(packed({5: [1, 2, 3], 6: [2, 3, 4], 7: [9, 10, 11], 8: [3] + list(range(20, 40))}), 65).to_pylist()
     assert got == [{"a": 5, "b": 6, "na": 3, "nb": 3, "met": 2}]
     many = {i: [7, *range(100 * i + 100, 100 * i + 105 + i % 2)] for i in range(setjoin.FEW + 1)}
     got = setjoin.meetings(packed(many), 65).to_pylist()
-    assert len(got) == setjoin.FEW and all(r["met"] == setjoin._CHAINED for r in got)
+    assert len(got) == setjoin.FEW and all(r["met"] == setjoin.CHAINED for r in got)
 
 
 def test_first_runs_meet_in_any_order():

@@ -77,3 +77,24 @@ def test_code_without_white_space(spark):
     assert sketch.code_digest(" \n") == "" and sketch.code_digest("a ;b") == sketch.code_digest("a; b") != sketch.code_digest("ab")
     got = sketch.code_digests(spark.createDataFrame([(1, "f ( x )"), (2, "f(x)"), (3, None)], "id long, text string")).collect()
     assert got[0].digest == got[1].digest and len(got[0].digest) == 16 and got[2].digest == ""
+
+
+def test_texts_by_bands(spark):
+    """Nearly all alike texts and no others, among them a group that one key chains; no feature is kept as text."""
+    rng = random.Random(6)
+    fresh = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    changed = lambda ws, share: [w if rng.random() > share else f"v{rng.randrange(10**9)}" for w in ws]
+    texts = [" ".join(changed(base, 0.002 * i)) for i in range(40) for base in [fresh(100)] for _ in range(4)]
+    hub = fresh(120)
+    texts += [" ".join(changed(hub, 0.004)) for _ in range(60)]
+    rows = [(10 + 3 * i, t) for i, t in enumerate(texts)] + [(1, texts[0].upper()), (2, "a b"), (3, ""), (4, None), (None, texts[1])]
+    sets = {i: frozenset(tuple(t.lower().split()[j : j + 4]) for j in range(len(t.split()) - 3)) for i, t in rows if i and t and len(t.split()) > 3}
+    first = {}
+    for i in sorted(sets):
+        first.setdefault(sets[i], i)
+    sim = lambda x, y: len(x & y) / len(x | y)
+    want = {(a, b): round(sim(x, y), 6) for x, a in first.items() for y, b in first.items() if a < b and sim(x, y) >= 0.65}
+    want |= {(first[s], i): 1.0 for i, s in sets.items() if first[s] != i}
+    got = sketch.similar_texts(spark.createDataFrame(rows, "id long, text string").repartition(3), 4, 65).collect()
+    found = {(r.a, r.b): round(r.similarity, 6) for r in got}
+    assert len(got) == len(found) >= 0.98 * len(want) and found.items() <= want.items()
