@@ -92,3 +92,19 @@ def test_first_runs_meet_in_any_order():
         many = np.unique(rng.choice(a, len(a) // 2))
         place = rng.permutation(len(many))
         assert len(np.intersect1d(setjoin.first_runs(a, many, place, 65), setjoin.first_runs(b, many, place, 65)))
+
+
+ON_COPIES = [
+    "clone_filter",
+]
+
+
+@pytest.mark.parametrize("name", ON_COPIES)
+def test_queries_on_copies_search_by_set_join(spark, sf, monkeypatch, name):
+    """Without the pairs of an earlier query, each searches by setjoin, once."""
+    from quarrel.plans import analyses, bindings
+
+    calls, alike = [], setjoin.alike
+    monkeypatch.setattr(analyses, "_FOUND", {})
+    monkeypatch.setattr(setjoin, "alike", lambda *a: calls.append(a[1:]) or alike(*a))
+    assert bindings.QUERIES[name](spark, sf).columns and calls == [(4, 65)]
