@@ -96,6 +96,7 @@ def test_first_runs_meet_in_any_order():
 
 ON_COPIES = [
     "clone_filter",
+    "group_star",
     "group_members_maximal",
     "group_leader",
     "group_k_core",
