@@ -96,6 +96,7 @@ def test_first_runs_meet_in_any_order():
 
 ON_COPIES = [
     "clone_filter",
+    "pair_checks",
     "merged_clone_statistics",
     "group_star",
     "group_members_maximal",
